@@ -22,6 +22,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import store, textops
 
@@ -117,7 +118,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     """docs with the ids of the whole text and the byte at which each id begins."""
     store.ship(docs.sparkSession)
     path, kept = _codec_path(path), [c for c in docs.columns if c not in (ids, offsets)]
-    schema = docs.select(kept).schema.add(ids, "array<int>").add(offsets, "array<int>")
+    schema = docs.select(kept).schema.add(ids, T.ArrayType(T.IntegerType())).add(offsets, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = ByteCodec.of(path, pattern)

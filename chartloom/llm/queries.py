@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, token_counts, toxicity
+from . import bpe, lm_scoring, minhash, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for every document; learns from the folds that aren't 1."""
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", _fold(5) == 1)
+    scored = lm_scoring.lm_scores(docs, ~F.col("held_out"), keep=["doc_id", "held_out"])
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
     return bpe.round_trip(_table(spark, sf_dir, "documents"))
@@ -46,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_minhash": op2_minhash,
     "op3_token_counts": op3_token_counts,
+    "op5_lm_scoring": op5_lm_scoring,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
