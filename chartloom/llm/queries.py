@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, lm_scoring, minhash, mtree, quality, token_counts, toxicity
+from . import bpe, decontam, lm_scoring, minhash, mtree, quality, token_counts, toxicity, training_order
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,11 @@ def op8_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_products(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot, shard, place and checksum of every sequence of every document, read from the shards written."""
+    return training_order.materialise(_table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
     return bpe.round_trip(_table(spark, sf_dir, "documents"))
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
     "op8_mtree_topk": op8_mtree_topk,
+    "op9_training_order": op9_training_order,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
