@@ -133,21 +133,44 @@ def measure(docs: DataFrame, items: DataFrame, size: int = SIZE, keep: list[str]
     return wide.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def _pinned(value: Column) -> Column:
+    """A struct with field v that the optimizer won't inline into lambdas or filters, so it's computed once a row."""
+    return F.struct(F.monotonically_increasing_id().alias("_n"), value.alias("v"))
+
+
+def _spans_in_row(docs: DataFrame, windows: DataFrame, text: str) -> DataFrame:
+    """docs with n_words and _covered, for windows that may be shipped: no document moves."""
+    held = windows.select("size", "hash", "window").collect()
+    texts, hashes = [r["window"] for r in held], sorted({r["hash"] for r in held})
+    by_size = [F.filter(_hits_of_size(n, hashes), lambda h: h["_window"].isin(texts)) for n in sorted({r["size"] for r in held})]
+    hits = F.concat(*by_size) if by_size else F.array().cast("array<struct<_size:int,_at:int,_window:string>>")
+    split = docs.select(F.struct(*docs.columns).alias("_doc"), _pinned(words(F.col(text))).alias("_w"))
+    marked = split.select("_doc", F.size("_w.v").alias("n_words"), F.col("_w.v").alias("_words"))
+    spans = F.sort_array(F.transform(hits, lambda h: F.struct(h["_at"].alias("first"), (h["_at"] + h["_size"] - 1).alias("last"))))
+    return marked.select("_doc", "n_words", _pinned(spans).alias("_c")).select("_doc.*", "n_words", F.col("_c.v").alias("_covered"))
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = SIZE, text: str = "text", **more) -> DataFrame:
     """docs without those that are contaminated, and without the hit words of the others.
 
     A document with hits that isn't contaminated keeps its other text as it was, but for
     the white space and marks between removed words; documents without hits stay untouched.
     """
-    columns = [c for c in docs.columns]
-    found = find_hits(docs, items, size, text, **more)
-    hit = F.aggregate(merged(F.col("_covered")), F.lit(0), lambda a, s: a + s["last"] - s["first"] + 1)
-    marked = found.withColumn("_spans", merged(F.col("_covered"))).withColumn("_hit", hit)
+    columns = list(docs.columns)
+    windows = benchmark_windows(items, size, more.get("item_id", "item_id"), more.get("item_text", "text"))
+    if windows.count() <= more.get("most_broadcast", MOST_BROADCAST):
+        found = _spans_in_row(docs, windows, text)
+    else:
+        found = find_hits(docs, items, size, text, **more)
+    hit = F.aggregate("_s.v", F.lit(0), lambda a, x: a + x["last"] - x["first"] + 1)
+    marked = found.withColumn("_s", _pinned(merged(F.col("_covered")))).withColumn("_hit", hit)
     clean = marked.where(~((F.col("_hit") > 0) & (20 * F.col("_hit") >= F.col("n_words"))))
     # words and gaps alternate: word i of the text stands between gaps i and i + 1
-    word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    gaps, kept_words = F.split(F.col(text), word), F.filter(F.split(F.col(text), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != "")
-    inside = lambda i: F.exists("_spans", lambda s: (s["first"] <= i) & (i <= s["last"]))
-    piece = lambda w, i: F.when(inside(i + 1), F.lit("")).otherwise(F.concat(w, F.get(gaps, i + 1)))
-    cut = F.concat(F.get(gaps, F.lit(0)), F.array_join(F.transform(kept_words, piece), ""))
-    return clean.withColumn(text, F.when(F.size("_spans") > 0, cut).otherwise(F.col(text))).select(columns)
+    some = F.size("_s.v") > 0
+    gaps = F.split(F.col(text), r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    kept = F.filter(F.split(F.col(text), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != "")
+    cut = clean.withColumn("_p", _pinned(F.when(some, F.struct(gaps.alias("gaps"), kept.alias("kept")))))
+    inside = lambda i: F.exists("_s.v", lambda x: (x["first"] <= i) & (i <= x["last"]))
+    piece = lambda w, i: F.when(inside(i + 1), F.lit("")).otherwise(F.concat(w, F.get("_p.v.gaps", i + 1)))
+    left = F.concat(F.get("_p.v.gaps", F.lit(0)), F.array_join(F.transform("_p.v.kept", piece), ""))
+    return cut.withColumn(text, F.when(some, left).otherwise(F.col(text))).select(columns)
