@@ -68,9 +68,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, prior: float, steps: int = 1
     if not len(labels) or labels.min() == labels.max():
         share = min(max(prior, 1e-6), 1 - 1e-6)
         return Model(none.weights, float(np.log(share / (1 - share))))
-    lens = np.array([len(x) for x in rows])
-    flat, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), lens)
-    seen = [np.bincount(flat[labels[row] == c], minlength=1 << BITS) for c in (0, 1)]
+    seen = np.zeros((2, 1 << BITS))
+    for x, label in zip(rows, labels, strict=True):
+        seen[label][x] += 1
     share = [(x + alpha) / (x.sum() + alpha * len(x)) for x in seen]
     ratio = np.log(share[1] / share[0])
     df = seen[0] + seen[1]
@@ -78,9 +78,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, prior: float, steps: int = 1
     kept = np.argsort(-evidence, kind="stable")[:N_FEATURES]
     place = np.full(1 << BITS, -1, np.int32)
     place[kept] = np.arange(len(kept), dtype=np.int32)
-    col = place[flat]
-    row, col = row[col >= 0], col[col >= 0]
-    value = ratio[kept][col]
+    cols = [c[c >= 0] for c in (place[x] for x in rows)]
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(c) for c in cols])
+    col = np.concatenate(cols)
+    value = ratio[kept][col].astype(np.float32)
     n, y = len(labels), labels.astype(np.float64)
     w, bias, m, v = np.zeros(len(kept)), 0.0, np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
     for t in range(1, steps + 1):
@@ -120,8 +121,9 @@ def train(docs: DataFrame, labels: DataFrame, in_training: Column, label: str =
 
     # the sample has 2 * per_class rows at most, so it may be broadcast
     sample = docs.where(F.col(doc_id).isNotNull()).join(F.broadcast(drawn), doc_id).select(F.col(doc_id).cast("string").alias("_id"), "_y", F.col(text).alias("_text"))
-    rows = sorted(map(tuple, sample.mapInArrow(run, "_id string, _y int, _features binary").dropDuplicates(["_id"]).collect()))
-    return fit([np.frombuffer(x[2], np.uint32).astype(np.int64) for x in rows], np.array([x[1] for x in rows], dtype=np.int64), shares.get(1, 0) / total if total else 0.0)
+    found = sample.mapInArrow(run, "_id string, _y int, _features binary").dropDuplicates(["_id"]).toArrow().sort_by("_id")
+    rows = [np.frombuffer(x.as_buffer(), np.uint32) for x in found.column("_features")]
+    return fit(rows, found.column("_y").to_numpy(), shares.get(1, 0) / total if total else 0.0)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
