@@ -166,11 +166,11 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_t
         decimal = [str(i) for i in range(len(codec.token_bytes))]
         for batch in batches:
             counts, encoded, decoded = [], [], []
-            for part in textops.pieces(batch, "_text"):
-                for ids in codec.encode([x or "" for x in part.column("_text").to_pylist()]):
+            for part in textops.pieces(batch, "__text"):
+                for ids in codec.encode([x or "" for x in part.column("__text").to_pylist()]):
                     counts.append(len(ids))
                     encoded.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
                     decoded.append(hashlib.sha256(codec.decode_bytes(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], schema.names)
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)

@@ -156,21 +156,22 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = SIZE, text: str
     A document with hits that isn't contaminated keeps its other text as it was, but for
     the white space and marks between removed words; documents without hits stay untouched.
     """
-    columns = list(docs.columns)
+    # the document travels as one struct, so its columns' names can't clash with ours
+    whole = docs.select(F.struct(*docs.columns).alias("_d"), F.col(text).alias("_t"))
     windows = benchmark_windows(items, size, more.get("item_id", "item_id"), more.get("item_text", "text"))
     if windows.count() <= more.get("most_broadcast", MOST_BROADCAST):
-        found = _spans_in_row(docs, windows, text)
+        found = _spans_in_row(whole, windows, "_t")
     else:
-        found = find_hits(docs, items, size, text, **more)
+        found = find_hits(whole, items, size, "_t", **more)
     hit = F.aggregate("_s.v", F.lit(0), lambda a, x: a + x["last"] - x["first"] + 1)
     marked = found.withColumn("_s", _pinned(merged(F.col("_covered")))).withColumn("_hit", hit)
     clean = marked.where(~((F.col("_hit") > 0) & (20 * F.col("_hit") >= F.col("n_words"))))
     # words and gaps alternate: word i of the text stands between gaps i and i + 1
     some = F.size("_s.v") > 0
-    gaps = F.split(F.col(text), r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-    kept = F.filter(F.split(F.col(text), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != "")
+    gaps = F.split(F.col("_t"), r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    kept = F.filter(F.split(F.col("_t"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != "")
     cut = clean.withColumn("_p", _pinned(F.when(some, F.struct(gaps.alias("gaps"), kept.alias("kept")))))
     inside = lambda i: F.exists("_s.v", lambda x: (x["first"] <= i) & (i <= x["last"]))
     piece = lambda w, i: F.when(inside(i + 1), F.lit("")).otherwise(F.concat(w, F.get("_p.v.gaps", i + 1)))
     left = F.concat(F.get("_p.v.gaps", F.lit(0)), F.array_join(F.transform("_p.v.kept", piece), ""))
-    return cut.withColumn(text, F.when(some, left).otherwise(F.col(text))).select(columns)
+    return cut.select(F.col("_d").withField(text, F.when(some, left).otherwise(F.col("_t"))).alias("_d")).select("_d.*")

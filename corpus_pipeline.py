@@ -19,10 +19,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents whose perplexity is within their language's threshold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     # decisions go by id and text, so that rows sharing an id, or without one, are told apart
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    judged = quality.classify(keyed, labels, keep=["doc_id", "_key"])
-    rejected = judged.where(~F.col("accepted")).select(F.col("doc_id").alias("_rejected"), F.col("_key").alias("_rejected_key")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_rejected")) & (F.col("_key") == F.col("_rejected_key"))
+    keyed = docs.withColumn("__key", F.xxhash64("text"))
+    judged = quality.classify(keyed, labels, keep=["doc_id", "__key"])
+    rejected = judged.where(~F.col("accepted")).select(F.col("doc_id").alias("__rejected"), F.col("__key").alias("__rejected_key")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__rejected")) & (F.col("__key") == F.col("__rejected_key"))
     return keyed.join(rejected, same, "left_anti").select(docs.columns)
 
 
@@ -30,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below TOXIC_FROM; labels of all ids in docs may train."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels, F.lit(True))
-    return toxicity.score(docs, model, out="_toxic").where(F.col("_toxic") < TOXIC_FROM).select(docs.columns)
+    return toxicity.score(docs, model, out="__toxic").where(F.col("__toxic") < TOXIC_FROM).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's number of ids, their digest, and that of the bytes they decode to."""
-    return bpe.round_trip(docs, keep=[c for c in docs.columns if c != "text"])
+    made = {"text", "n_tokens", "ids_sha256", "decoded_sha256"}
+    return bpe.round_trip(docs, keep=[c for c in docs.columns if c not in made])
 
 
 STAGES = [
