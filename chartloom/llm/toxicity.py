@@ -120,7 +120,8 @@ def train(docs: DataFrame, labels: DataFrame, in_training: Column, label: str =
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_y"), pa.array(found, pa.binary())], ["_id", "_y", "_features"])
 
     # the sample has 2 * per_class rows at most, so it may be broadcast
-    sample = docs.where(F.col(doc_id).isNotNull()).join(F.broadcast(drawn), doc_id).select(F.col(doc_id).cast("string").alias("_id"), "_y", F.col(text).alias("_text"))
+    texts = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).where("_doc is not null")
+    sample = texts.join(F.broadcast(drawn.withColumnRenamed(doc_id, "_doc")), "_doc").select(F.col("_doc").cast("string").alias("_id"), "_y", "_text")
     found = sample.mapInArrow(run, "_id string, _y int, _features binary").dropDuplicates(["_id"]).toArrow().sort_by("_id")
     rows = [np.frombuffer(x.as_buffer(), np.uint32) for x in found.column("_features")]
     return fit(rows, found.column("_y").to_numpy(), shares.get(1, 0) / total if total else 0.0)
