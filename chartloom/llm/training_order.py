@@ -33,10 +33,10 @@ from . import bpe, store, textops
 from .textops import U64
 
 LENGTH = 256
-SHARD_ROWS = 1 << 16
+SHARD_ROWS = 1 << 15
 END_ID = 50256
 KEY = 0x5EED0FC0DE
-MEMO_PARTS = 300_000
+MEMO_PARTS = 100_000
 _NULL_ID = -(1 << 63)
 _HEADER = np.dtype([("slot", "<i8"), ("doc_id", "<i8"), ("sequence", "<i4"), ("n_tokens", "<i4")])
 
@@ -75,8 +75,12 @@ class FlatEncoder:
     def __init__(self, path: str, pattern: str):
         import tiktoken
 
-        self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
-        self.memo: dict[str, list[int]] = {}
+        ranks = bpe.read_ranks(path)
+        self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.width = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        self.width[list(ranks.values())] = [len(token) for token in ranks]
+        # by what stands before a part: its ids, two bytes each
+        self.memos: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
 
     @classmethod
     def of(cls, path: str, pattern: str) -> "FlatEncoder":
@@ -84,56 +88,77 @@ class FlatEncoder:
             cls._made[path, pattern] = cls(path, pattern)
         return cls._made[path, pattern]
 
-    def _ids(self, parts: list[str], before: str) -> list[list[int] | None]:
-        """Ids of parts that stand after ``before``; None where the cut after a part isn't safe."""
-        memo, one = self.memo, self.library.encode_ordinary
-        out = []
-        for part in parts:
-            ids = memo.get(before + part)
-            if ids is None and part and not part[-1].isspace():
-                ids = one(before + part)
-                if len(memo) < MEMO_PARTS:
-                    memo[before + part] = ids
-            out.append(ids)
-        return out
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and the offsets of the texts."""
+    def _ids(self, parts: list[str], before: str) -> list[bytes]:
+        """Ids of parts that stand after ``before``, two bytes each; none where the cut after a part isn't safe."""
+        memo = self.memos[before]
+        found = list(map(memo.get, parts))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        good = []
+        for i in new:
+            part = parts[i]
+            if part and not part[-1].isspace():
+                good.append(i)
+            else:
+                found[i] = b""
+        if before:
+            # joined, the parts are cut at the same places as alone, so one call serves them all
+            ids = np.array(self.library.encode_ordinary("".join([before + parts[i] for i in good])), dtype="<u2")
+            sizes = np.fromiter((len(parts[i].encode()) for i in good), np.int64, len(good)) + len(before)
+            ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(sizes), side="left") + 1
+            held, a = ids.tobytes(), 0
+            for i, z in zip(good, (2 * ends).tolist(), strict=True):
+                found[i] = held[a:z]
+                a = z
+        else:
+            for i in good:
+                found[i] = np.array(self.library.encode_ordinary(parts[i]), dtype="<u2").tobytes()
+        if len(memo) < MEMO_PARTS:
+            memo.update((parts[i], found[i]) for i in new[: MEMO_PARTS - len(memo)])
+        return found
+
+    def _split(self, texts: pa.Array):
+        """Parts of all texts: distinct parts' ids, each part's place among them, offsets by text, heads' ids, and which texts the library must see whole."""
         split = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), " ")
         at = np.asarray(split.offsets).astype(np.int64)
+        at -= at[0]
         coded = split.flatten().dictionary_encode()
         distinct, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        at -= at[0]
         heads = self._ids([distinct[c] for c in code[at[:-1]]], "")
         rests = self._ids(distinct, " ")
-        lens = np.array([0 if x is None else len(x) for x in rests], dtype=np.int64)
-        flat = np.array([i for x in rests if x is not None for i in x], dtype=np.uint16)
-        unsafe = np.array([x is None for x in rests])[code]
-        inner = np.ones(len(code), dtype=bool)
-        inner[at[:-1]] = False
-        unsafe &= inner
+        lens = np.fromiter(map(len, rests), np.int64, len(rests)) // 2
+        use = lens[code]
+        use[at[:-1]] = 0
+        unsafe = use == 0
+        unsafe[at[:-1]] = False
         whole = np.add.reduceat(unsafe, at[:-1]) > 0
-        # a head that ends in white space, or is empty, makes the first cut unsafe
-        alone = np.diff(at) == 1
-        whole |= np.array([x is None for x in heads]) & ~alone
-        starts = np.concatenate([[0], np.cumsum(lens)])
-        use = np.where(inner, lens[code], 0)
+        # a head that ends in white space, or is empty, makes the first cut unsafe, or isn't encoded
+        whole |= np.fromiter(map(len, heads), np.int64, len(heads)) == 0
+        return rests, lens, code, use, at, heads, whole
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """The number of ids of each text."""
+        _, _, _, use, at, heads, whole = self._split(texts)
+        n = np.add.reduceat(use, at[:-1]) + np.fromiter(map(len, heads), np.int64, len(heads)) // 2
+        for r in np.flatnonzero(whole):
+            n[r] = len(self.library.encode_ordinary(texts[int(r)].as_py() or ""))
+        return n
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and the offsets of the texts."""
+        rests, lens, code, use, at, heads, whole = self._split(texts)
+        flat = np.frombuffer(b"".join(rests), dtype="<u2")
+        starts = np.cumsum(lens) - lens
         ends = np.cumsum(use)
-        gathered = flat[np.repeat(starts[code] - (ends - use), use) + np.arange(ends[-1] if len(ends) else 0)]
+        gathered = flat[np.repeat(starts[code] - (ends - use), use) + np.arange(ends[-1])]
         edge = np.concatenate([[0], ends])[at]
-        strings = None
-        pieces, sizes = [], []
+        pieces = []
         for r, head in enumerate(heads):
-            if whole[r] or head is None:
-                strings = strings if strings is not None else texts.to_pylist()
-                ids = np.array(self.library.encode_ordinary(strings[r] or ""), dtype=np.uint16)
-                pieces.append(ids)
-                sizes.append(len(ids))
+            if whole[r]:
+                pieces.append(np.array(self.library.encode_ordinary(texts[r].as_py() or ""), dtype="<u2").tobytes())
             else:
-                body = gathered[edge[r] : edge[r + 1]]
-                pieces += [np.array(head, dtype=np.uint16), body]
-                sizes.append(len(head) + len(body))
-        return np.concatenate(pieces) if pieces else np.zeros(0, np.uint16), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+                pieces.append(head + gathered[edge[r] : edge[r + 1]].tobytes())
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 2
+        return np.frombuffer(b"".join(pieces), dtype="<u2"), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def stride(length: int = LENGTH) -> int:
@@ -155,9 +180,8 @@ def write_shards(docs: DataFrame, path: str, length: int = LENGTH, shard_rows: i
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, n = FlatEncoder.of(ranks, pattern), 0
         for batch in batches:
-            for part in textops.pieces(batch, "_text", 1 << 23):
-                _, at = encoder.encode(part.column("_text"))
-                n += int(((np.diff(at) + length) // length).sum())  # ids and one end, rounded up
+            for part in textops.pieces(batch, "_text", 1 << 22):
+                n += int(((encoder.counts(part.column("_text")) + length) // length).sum())  # ids and one end, rounded up
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n])], ["partition", "n"])
 
     # one row for each partition of the scan
