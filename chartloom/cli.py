@@ -16,8 +16,8 @@ from .sources.synthetic import synthetic_notes, write_synthetic_notes
 
 
 def has_pdf(folder: str) -> bool:
-    """Whether a PDF stands directly in folder."""
-    return os.path.isdir(folder) and bool(glob.glob(os.path.join(folder, "*.pdf")))
+    """Whether a PDF stands in folder or below it; folders without get the synthetic notes, and stay as they are."""
+    return os.path.isdir(folder) and any(x.lower().endswith(".pdf") for x in glob.iglob(os.path.join(folder, "**"), recursive=True))
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -48,7 +48,7 @@ def main(argv: list[str] | None = None) -> None:
         print(write_synthetic_notes(spark, args.output, not args.markdown))
     elif args.command == "extract":
         engine = Extraction(spark, args.features, args.collection, args.reset)
-        if args.data_dir and os.path.isdir(args.data_dir):
+        if args.data_dir and has_pdf(args.data_dir):
             wide = engine.run_folder(args.data_dir, args.output, args.contexts, args.raw)
         else:
             wide = engine.run_notes(synthetic_notes(spark), args.output, args.contexts, args.raw)
@@ -67,7 +67,7 @@ def converse(spark: SparkSession, engine: Extraction, extracted: str, verbose: b
         row = engine.chat(spark.createDataFrame([(0, question)], "question_id int, question string"), known).first()
         say(row["answer"])
         for hit in (row["hits"] or []) if verbose else []:
-            say(f"{hit['rank']}. ({hit['score']:.4f}) {hit['context']}")
+            say(f"Result {hit['rank']} (score: {hit['score']:.4f})\n{hit['context']}")
 
 
 if __name__ == "__main__":

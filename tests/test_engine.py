@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from chartloom import config, providers
+from chartloom import cli, config, providers
 from chartloom.operators import cascade, chat, definitions, matrix, resolution, retrieval
 from chartloom.plans.extraction import Extraction
 from chartloom.sources import features as feature_source
@@ -152,6 +152,16 @@ def test_whole_extraction_and_chat(spark):
     answers = {r["question_id"]: r for r in engine.chat(asked, wide).collect()}
     assert answers[1]["patient_id"] == "76549821" and answers[1]["hits"] and answers[2]["hits"]
     assert "[REDACTED]" in "".join(r["context"] for r in spark.table("contexts_test").collect())
+    asked, said = iter(["", "What of 76549821?", " EXIT "]), []
+    cli.converse(spark, engine, "/no/such/table", True, lambda _: next(asked), said.append)
+    assert len(said) > 1 and said[1].startswith("Result 1 (score: ")
+
+
+def test_cli_looks_for_pdf_files(tmp_path):
+    assert not cli.has_pdf(str(tmp_path)) and not cli.has_pdf(str(tmp_path / "absent"))
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "a.PDF").write_bytes(b"")
+    assert cli.has_pdf(str(tmp_path))
 
 
 def test_stream_finds_the_same_snippets(spark, tmp_path):
