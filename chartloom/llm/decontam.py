@@ -77,7 +77,7 @@ def find_hits(docs: DataFrame, items: DataFrame, size: int = SIZE, text: str = "
         hashes = [r["hash"] for r in windows.select("hash").distinct().collect()]
         by_size = [_hits_of_size(n, hashes) for n in sizes]
         marked = held.select("_row", "_doc", F.size("_words").alias("n_words"), (F.concat(*by_size) if by_size else empty).alias("_hits"))
-        facts, windows_of_docs = marked, marked.select("_row", F.explode("_hits").alias("_hit"))
+        facts = marked
     else:
         all_of = F.concat(*(_hashes_of_size(n) for n in sizes))
         facts = held.select("_row", "_doc", F.size("_words").alias("n_words"))

@@ -88,8 +88,11 @@ class FlatEncoder:
             cls._made[path, pattern] = cls(path, pattern)
         return cls._made[path, pattern]
 
-    def _ids(self, parts: list[str], before: str) -> list[bytes]:
-        """Ids of parts that stand after ``before``, two bytes each; none where the cut after a part isn't safe."""
+    def _ids(self, parts: list[str], before: str, sizes: np.ndarray | None = None) -> list[bytes]:
+        """Ids of parts that stand after ``before``, two bytes each; none where the cut after a part isn't safe.
+
+        sizes: bytes of each part, where there is something before.
+        """
         memo = self.memos[before]
         found = list(map(memo.get, parts))
         new = [i for i, ids in enumerate(found) if ids is None]
@@ -103,8 +106,7 @@ class FlatEncoder:
         if before:
             # joined, the parts are cut at the same places as alone, so one call serves them all
             ids = np.array(self.library.encode_ordinary("".join([before + parts[i] for i in good])), dtype="<u2")
-            sizes = np.fromiter((len(parts[i].encode()) for i in good), np.int64, len(good)) + len(before)
-            ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(sizes), side="left") + 1
+            ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(sizes[good] + len(before)), side="left") + 1
             held, a = ids.tobytes(), 0
             for i, z in zip(good, (2 * ends).tolist(), strict=True):
                 found[i] = held[a:z]
@@ -124,7 +126,7 @@ class FlatEncoder:
         coded = split.flatten().dictionary_encode()
         distinct, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         heads = self._ids([distinct[c] for c in code[at[:-1]]], "")
-        rests = self._ids(distinct, " ")
+        rests = self._ids(distinct, " ", pc.binary_length(coded.dictionary).to_numpy().astype(np.int64))
         lens = np.fromiter(map(len, rests), np.int64, len(rests)) // 2
         use = lens[code]
         use[at[:-1]] = 0
