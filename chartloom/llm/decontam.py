@@ -64,7 +64,8 @@ def _hashes_of_size(n: int) -> Column:
 def find_hits(docs: DataFrame, items: DataFrame, size: int = SIZE, text: str = "text", item_id: str = "item_id", item_text: str = "text", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """docs with n_words, the hit places _covered (arrays of the first and last word of each window) and _items.
 
-    Both arrays are empty for a document without a hit.
+    Both arrays are empty for a document without a hit.  With more than most_broadcast windows docs is
+    scanned three times and must be a stored table, whose rows keep their order.
     """
     windows = benchmark_windows(items, size, item_id, item_text)
     found = windows.agg(F.count("*").alias("n"), F.collect_set("size").alias("sizes")).first()
