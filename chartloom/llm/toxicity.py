@@ -31,7 +31,7 @@ BITS = 18
 ORDERS = (3, 4, 5)
 #: Bound of the fitted sample: labelled rows of each class.
 PER_CLASS = 4000
-#: Features that the regression keeps, by the weight of evidence in the sample.
+#: Features that the regression keeps (fewer than 2**16), by the weight of evidence in the sample.
 N_FEATURES = 30_000
 _C1, _C2 = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 
@@ -62,26 +62,34 @@ def buckets(text: str | None, mark: np.ndarray) -> np.ndarray:
     return found
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, prior: float, steps: int = 150, alpha: float = 0.1, ridge: float = 3e-5) -> Model:
-    """Fit on feature buckets by row; prior: the share of label 1 that scores should assume."""
-    none = Model(np.zeros(1 << BITS, np.float32), 0.0)
-    if not len(labels) or labels.min() == labels.max():
-        share = min(max(prior, 1e-6), 1 - 1e-6)
-        return Model(none.weights, float(np.log(share / (1 - share))))
-    seen = np.zeros((2, 1 << BITS))
-    for x, label in zip(rows, labels, strict=True):
-        seen[label][x] += 1
+def choose(seen: np.ndarray, alpha: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of most evidence, and their log-count ratios, from the rows of each label that hold each bucket."""
     share = [(x + alpha) / (x.sum() + alpha * len(x)) for x in seen]
     ratio = np.log(share[1] / share[0])
     df = seen[0] + seen[1]
     evidence = np.where(df >= 2, np.abs(ratio) * np.sqrt(df), 0)
     kept = np.argsort(-evidence, kind="stable")[:N_FEATURES]
+    return kept, ratio[kept]
+
+
+def places_of(kept: np.ndarray) -> np.ndarray:
+    """For each bucket its place in kept, or -1."""
     place = np.full(1 << BITS, -1, np.int32)
     place[kept] = np.arange(len(kept), dtype=np.int32)
-    cols = [c[c >= 0] for c in (place[x] for x in rows)]
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(c) for c in cols])
-    col = np.concatenate(cols)
-    value = ratio[kept][col].astype(np.float32)
+    return place
+
+
+def regress(cols: list[np.ndarray], labels: np.ndarray, kept: np.ndarray, ratio: np.ndarray, prior: float, steps: int = 150, ridge: float = 3e-5) -> Model:
+    """Logistic regression on the kept features of each row, scaled by their ratios.
+
+    prior: the share of label 1 that scores should assume.
+    """
+    prior = min(max(prior, 1e-6), 1 - 1e-6)
+    if not len(labels) or labels.min() == labels.max():
+        return Model(np.zeros(1 << BITS, np.float32), float(np.log(prior / (1 - prior))))
+    row = np.repeat(np.arange(len(cols), dtype=np.int32), [len(c) for c in cols])
+    col = np.concatenate(cols).astype(np.int32)
+    value = ratio[col].astype(np.float32)
     n, y = len(labels), labels.astype(np.float64)
     w, bias, m, v = np.zeros(len(kept)), 0.0, np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
     for t in range(1, steps + 1):
@@ -92,11 +100,21 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, prior: float, steps: int = 1
         step = 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
         w, bias = w - step[:-1], bias - step[-1]
     weights = np.zeros(1 << BITS, np.float32)
-    weights[kept] = w * ratio[kept]
-    prior, sampled = min(max(prior, 1e-6), 1 - 1e-6), float(y.mean())
+    weights[kept] = w * ratio
+    sampled = float(y.mean())
     return Model(weights, bias + float(np.log(prior / (1 - prior)) - np.log(sampled / (1 - sampled))))
 
 
+def fit(rows: list[np.ndarray], labels: np.ndarray, prior: float) -> Model:
+    """Fit on the feature buckets of each row, all in memory."""
+    seen = np.zeros((2, 1 << BITS))
+    for x, label in zip(rows, labels, strict=True):
+        seen[label][x] += 1
+    kept, ratio = choose(seen)
+    place = places_of(kept)
+    return regress([c[c >= 0] for c in (place[x] for x in rows)], labels, kept, ratio, prior)
+
+
 def margin(model: Model, text: str | None, mark: np.ndarray) -> float:
     return float(model.weights[buckets(text, mark)].sum(dtype=np.float64) + model.bias)
 
@@ -113,18 +131,36 @@ def train(docs: DataFrame, labels: DataFrame, in_training: Column, label: str =
         part = known.where(F.col("_y") == y).orderBy(F.xxhash64(F.col(doc_id).cast("string")), doc_id).limit(per_class)
         drawn = part if drawn is None else drawn.unionByName(part)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark = np.zeros(1 << BITS, np.uint8)
-        for batch in batches:
-            found = [buckets(x, mark).astype(np.uint32).tobytes() for x in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_y"), pa.array(found, pa.binary())], ["_id", "_y", "_features"])
-
-    # the sample has 2 * per_class rows at most, so it may be broadcast
+    # the sample has 2 * per_class rows at most, so its ids may be broadcast; it's written once and read twice
     texts = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).where("_doc is not null")
     sample = texts.join(F.broadcast(drawn.withColumnRenamed(doc_id, "_doc")), "_doc").select(F.col("_doc").cast("string").alias("_id"), "_y", "_text")
-    found = sample.mapInArrow(run, "_id string, _y int, _features binary").dropDuplicates(["_id"]).toArrow().sort_by("_id")
-    rows = [np.frombuffer(x.as_buffer(), np.uint32) for x in found.column("_features")]
-    return fit(rows, found.column("_y").to_numpy(), shares.get(1, 0) / total if total else 0.0)
+    sample = store.materialise(sample.dropDuplicates(["_id"]), "labelled")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark, seen = np.zeros(1 << BITS, np.uint8), np.zeros((2, 1 << BITS), np.int64)
+        for batch in batches:
+            for y, x in zip(batch.column("_y").to_pylist(), batch.column("_text").to_pylist(), strict=True):
+                seen[y][buckets(x, mark)] += 1
+        held = np.flatnonzero(seen.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(seen[0][held]), pa.array(seen[1][held])], ["bucket", "n0", "n1"])
+
+    # 2**BITS rows at most reach the driver
+    counted = sample.mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    seen = np.zeros((2, 1 << BITS))
+    for y in (0, 1):
+        seen[y][counted.column("bucket").to_numpy()] = counted.column(f"n{y}").to_numpy()
+    kept, ratio = choose(seen)
+    sent = spark.sparkContext.broadcast(places_of(kept))
+
+    def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark, place = np.zeros(1 << BITS, np.uint8), sent.value
+        for batch in batches:
+            cols = [place[buckets(x, mark)] for x in batch.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_y"), pa.array([c[c >= 0].astype(np.uint16).tobytes() for c in cols], pa.binary())], ["_id", "_y", "_cols"])
+
+    found = sample.mapInArrow(lay_out, "_id string, _y int, _cols binary").toArrow().sort_by("_id")
+    cols = [np.frombuffer(x.as_buffer(), np.uint16) for x in found.column("_cols")]
+    return regress(cols, found.column("_y").to_numpy().astype(np.int64), kept, ratio, shares.get(1, 0) / total if total else 0.0)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
