@@ -1,13 +1,15 @@
 """Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
 
-Counts of words and of pairs of common words are quantised to powers of two and put
-into one bit array: an n-gram of level q = 1 + floor(log2 count) sets two bits for each of the levels
+Counts of words and of pairs of words are quantised to powers of two and put
+into bit arrays: an n-gram of level q = 1 + floor(log2 count) sets two bits for each of the levels
 1..q.  A worker reads a count back by probing level after level until one is missing.
-The filter's size is bounded by ``most_bits``; where the corpus has more n-grams than
-fit, the rarest are left out by a floor on the count, found from the counts of all.
+The filter that every worker holds is bounded by ``most_bits``; where the corpus has more n-grams than
+fit, it holds the commonest, and the others fill filters sharded by key.  What a worker can't
+read is shuffled to its shard and read there, so every counted n-gram is found at any size.
 
-P(w | v) = (c(vw) + mu * P(w)) / (c(v) + mu) for words of the pair vocabulary, else
-P(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)), with counts from the filter.
+P(w | v) = (c(vw) + mu * P(w)) / (c(v) + mu) and
+P(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)), with counts from the filters.  The logarithm of P(w | v) is the
+sum of log(P(w) + c(vw) / mu), asked where vw is, and of log(mu / (c(v) + mu)), asked where v is.
 
 The exact unigram base of the contract comes from whole counts: those of common words
 are broadcast, the rest join the rows that need them.
@@ -29,6 +31,11 @@ from .textops import U64
 #: Words whose pairs are counted: the commonest.
 PAIR_WORDS = 1 << 16
 MU = 400.0
+#: Words whose levels every worker holds apart, so that a shard gets few pairs of the same word.
+COMMON_WORDS = 1 << 16
+#: log2 of the bits of a shard's filter.
+SHARD_BITS = 24
+_SHARD = U64(0xFFFF)
 _LEVEL = 0x8CB92BA72F3D8DD7
 _MOST_LEVELS = 48
 
@@ -44,8 +51,8 @@ class CountFilter:
         h = textops.mix(keys + U64(level * _LEVEL & (1 << 64) - 1))
         return [h >> U64(64 - width), h & U64((1 << width) - 1)]
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """An estimate for each key: the middle of its level, 0 where level 1 is missing."""
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The level of each key, 0 where level 1 is missing."""
         keys, back = np.unique(keys, return_inverse=True)
         level, going = np.zeros(len(keys), dtype=np.int64), np.arange(len(keys))
         for q in range(1, _MOST_LEVELS + 1):
@@ -54,7 +61,25 @@ class CountFilter:
             level[going] = q
             if not len(going):
                 break
-        return np.where(level > 0, 0.75 * 2.0**level, 0.0)[back] - 0.5 * (level == 1)[back]
+        return level[back]
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        return self.middle(self.levels(keys))
+
+    @staticmethod
+    def middle(level: np.ndarray) -> np.ndarray:
+        """An estimate for each level: its middle, 0 for level 0."""
+        return np.where(level > 0, 0.75 * 2.0**level, 0.0) - 0.5 * (level == 1)
+
+    @staticmethod
+    def of(keys: np.ndarray, levels: np.ndarray) -> "CountFilter":
+        """The filter of so many keys as one worker holds."""
+        width = blooms.bit_width(int(levels.sum(dtype=np.int64)), per_entry=8, most=40)
+        bits = np.zeros(1 << (width - 6), dtype=np.uint64)
+        for q in range(1, int(levels.max(initial=0)) + 1):
+            for at in CountFilter.level_places(keys[levels >= q], q, width):
+                np.bitwise_or.at(bits, (at >> U64(6)).astype(np.int64), U64(1) << (at & U64(63)))
+        return CountFilter(bits, width)
 
 
 def fill_filter(counts: DataFrame, width: int) -> np.ndarray:
@@ -88,7 +113,41 @@ def fill_filter(counts: DataFrame, width: int) -> np.ndarray:
     return bits
 
 
-def lm_scores(docs: DataFrame, in_training: Column, text: str = "text", keep: list[str] | None = None, most_bits: int = 28, mu: float = MU, pair_words: int = PAIR_WORDS, hot_keys: int = ngrams.HOT_KEYS) -> DataFrame:
+def _shard_terms(asked: DataFrame, rest: DataFrame, shards: int, p_word, mu: float) -> DataFrame:
+    """_row and t, the term of each (_row, key, word, seen) asked, from filters of rest's counts.
+
+    seen is the level of the predicted word, 0 if it must be read by ``word``, -1 if key is a
+    context.  A partition has its counts first, then streams what is asked of them.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        keys, levels, known = [np.empty(0, np.uint64)], [np.empty(0, np.uint8)], None
+        for batch in batches:
+            row, key, word, seen = (batch.column(c).to_numpy() for c in ("_row", "key", "word", "seen"))
+            key, word, asks = key.view(np.uint64), word.view(np.uint64), row >= 0
+            keys.append(key[~asks])
+            levels.append(seen[~asks].astype(np.uint8))
+            if not asks.any():
+                continue
+            if known is None:
+                known = CountFilter.of(np.concatenate(keys), np.concatenate(levels))
+            keys.clear()
+            levels.clear()
+            key, word, seen = key[asks], word[asks], seen[asks].astype(np.int64)
+            count = known.counts(key)
+            unread = np.flatnonzero(seen == 0)
+            seen[unread] = known.levels(word[unread])
+            of_word = CountFilter.middle(np.maximum(seen, 0))
+            t = np.where(seen < 0, np.log10(mu / (count + mu)), np.log10(p_word(of_word) + np.minimum(count, of_word) / mu))
+            yield pa.RecordBatch.from_arrays([pa.array(row[asks]), pa.array(t)], ["_row", "t"])
+
+    counts = rest.select(F.lit(-1).cast("long").alias("_row"), "key", F.lit(0).cast("long").alias("word"), (F.floor(F.log2("n")) + 1).cast("byte").alias("seen"))
+    both = counts.unionByName(asked).repartition(shards, F.col("key").bitwiseAND(int(_SHARD)))
+    return both.sortWithinPartitions(F.col("_row") >= 0).mapInArrow(run, "_row long, t double")
+
+
+def lm_scores(docs: DataFrame, in_training: Column, text: str = "text", keep: list[str] | None = None, most_bits: int = 28, mu: float = MU, pair_words: int = PAIR_WORDS, hot_keys: int = ngrams.HOT_KEYS, shard_bits: int = SHARD_BITS) -> DataFrame:
     """keep (default doc_id), n_tokens, n_known, train_tokens, base_score and score of each text.
 
     in_training: over docs' columns, the rows to learn from.
@@ -101,42 +160,86 @@ def lm_scores(docs: DataFrame, in_training: Column, text: str = "text", keep: li
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, n_words = sums["n"], sums["v"]
 
-    common = words.where(F.col("n") >= ngrams.floor_for(words, pair_words)).select("key").toArrow().column("key").to_numpy().view(np.uint64)
-    sent_common = spark.sparkContext.broadcast(common)  # pair_words keys at most
+    listed = words.where(F.col("n") >= ngrams.floor_for(words, COMMON_WORDS)).select("key", "n").toArrow()
+    listed_levels = np.frexp(listed.column("n").to_numpy().astype(np.float64))[1]
+    sent_common = spark.sparkContext.broadcast((listed.column("key").to_numpy().view(np.uint64), listed_levels))  # COMMON_WORDS at most
+    paired = words.where(F.col("n") >= ngrams.floor_for(words, pair_words)).select("key").toArrow().column("key").to_numpy().view(np.uint64)
+    sent_paired = spark.sparkContext.broadcast(paired)  # pair_words keys at most
 
-    def in_pairs(s: Stream) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each predicted token, and each with the one before, are common words."""
+    def previous_of(s: Stream) -> np.ndarray:
         # the end of the text before stands before a first word
         previous = s.padded[s.at - 1]
         previous[previous == ngrams.BEGIN] = ngrams.END
-        index = textops.KeyIndex(sent_common.value)
-        now = index.find(s.events(1)) >= 0
-        return now & (index.find(previous) >= 0), previous
+        return previous
+
+    def paired_of(word: np.ndarray, previous: np.ndarray) -> np.ndarray:
+        index = textops.KeyIndex(sent_paired.value)
+        return (index.find(word) >= 0) & (index.find(previous) >= 0)
+
+    def common_levels(index: textops.KeyIndex, keys: np.ndarray) -> np.ndarray:
+        at = index.find(keys)
+        return np.where(at >= 0, sent_common.value[1][at] if len(sent_common.value[1]) else 0, 0)
+
+    def keys_of(word: np.ndarray, previous: np.ndarray, common: np.ndarray) -> np.ndarray:
+        """A pair's key; that of a word that isn't common has the word's shard."""
+        key = textops.mix(word * U64(0xD1342543DE82EF95) + previous)
+        return np.where(common, key, key & ~_SHARD | word & _SHARD)
 
     def pair_keys(s: Stream) -> list[np.ndarray]:
-        both, previous = in_pairs(s)
-        return [textops.mix(s.events(1)[both] * U64(0xD1342543DE82EF95) + previous[both])]
+        word, previous = s.events(1), previous_of(s)
+        both = paired_of(word, previous)
+        word, previous = word[both], previous[both]
+        return [keys_of(word, previous, textops.KeyIndex(sent_common.value[0]).find(word) >= 0)]
 
     pairs = store.materialise(ngrams.count_keys(training, pair_keys, 2, text).where("n > 1"), "pairs")
     levels = lambda n: n.bit_length()
     room = (1 << most_bits) // 8
     both = words.unionByName(pairs)
-    stored = both.where(F.col("n") >= ngrams.floor_for(both, room, levels))
-    entries = stored.agg(F.coalesce(F.sum(F.floor(F.log2("n")) + 1), F.lit(0)).alias("e")).first()["e"]
-    width = blooms.bit_width(int(entries), per_entry=8, most=most_bits)
+    floor = ngrams.floor_for(both, room, levels)
+    stored, rest = both.where(F.col("n") >= floor), both.where(F.col("n") < floor)
+    size = F.coalesce(F.sum(F.floor(F.log2("n")) + 1), F.lit(0)).alias("e")
+    entries, others = (int(x.agg(size).first()["e"]) for x in (stored, rest))
+    width = blooms.bit_width(entries, per_entry=8, most=most_bits)
     sent = spark.sparkContext.broadcast(fill_filter(stored, width))
-
-    def model(s: Stream) -> np.ndarray:
-        known = CountFilter(sent.value, width)
-        word = s.events(1)
-        p = (known.counts(word) + 0.5) / (n_all + 0.5 * (n_words + 1))
-        both, previous = in_pairs(s)
-        c_previous = known.counts(previous[both])
-        c_pair = np.minimum(known.counts(textops.mix(word[both] * U64(0xD1342543DE82EF95) + previous[both])), c_previous)
-        p[both] = (c_pair + mu * p[both]) / (c_previous + mu)
-        return textops.by_row(np.log10(p), s.rows)
+    # a lower level is no n-gram of this filter
+    least = levels(floor) if others else 1
+
+    def p_word(count: np.ndarray) -> np.ndarray:
+        return (count + 0.5) / (n_all + 0.5 * (n_words + 1))
+
+    def model(s: Stream) -> tuple[np.ndarray, ngrams.Asks]:
+        known, index = CountFilter(sent.value, width), textops.KeyIndex(sent_common.value[0])
+        word, previous = s.events(1), previous_of(s)
+        both = paired_of(word, previous)
+
+        def read(keys: np.ndarray) -> np.ndarray:
+            level = known.levels(keys)
+            return np.where(level >= least, level, 0)
+
+        of_common = common_levels(index, word)
+        of_word = np.where(of_common > 0, of_common, read(word))
+        of_previous = common_levels(index, previous)
+        of_previous = np.where(of_previous > 0, of_previous, read(previous))
+        pair = keys_of(word, previous, of_common > 0)
+        of_pair = np.zeros(len(pair), dtype=np.int64)
+        of_pair[both] = read(pair[both])
+        count = CountFilter.middle(of_word)
+        first = np.log10(p_word(count) + np.minimum(CountFilter.middle(of_pair), count) / mu)
+        second = np.where(both, np.log10(mu / (CountFilter.middle(of_previous) + mu)), 0.0)
+        open_pair, open_previous = (of_word == 0) | both & (of_pair == 0), both & (of_previous == 0)
+        if not others:
+            open_pair[:], open_previous[:] = False, False
+        at, of = np.flatnonzero(open_pair), np.flatnonzero(open_previous)
+        unread = np.where(of_word[at] == 0, word[at], U64(0))
+        asks = ngrams.Asks(np.concatenate([at, of]), np.concatenate([pair[at], previous[of]]), np.concatenate([unread, np.zeros(len(of), np.uint64)]), np.concatenate([of_word[at], np.full(len(of), -1)]))
+        return textops.by_row(np.where(open_pair, 0.0, first) + np.where(open_previous, 0.0, second), s.rows), asks
+
+    shards = -(-others * 8 >> shard_bits)
+
+    def answer(asked: DataFrame) -> DataFrame:
+        return _shard_terms(asked, rest, shards, p_word, mu)
 
     table = words.select("key", "n", F.log10((F.col("n") + 0.5) / 0.5).alias("w"))
-    scored = ngrams.additive_scores(docs, table, 2, lambda s: [s.events(1)], text, keep, model, hot_keys)
+    scored = ngrams.additive_scores(docs, table, 2, lambda s: [s.events(1)], text, keep, model, hot_keys, answer if others else None)
     absent = float(np.log10(0.5 / (n_all + 0.5 * (n_words + 1))))
     return scored.select(*keep, "n_tokens", F.col("found").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), (F.col("total") + F.col("n_tokens") * absent).alias("base_score"), F.col("extra").alias("score"))

@@ -49,6 +49,23 @@ class Stream:
         return self.grams(n - 1, 1) ^ CONTEXT
 
 
+@dataclass
+class Asks:
+    """What tokens of some texts must still be asked: two keys each and what is already known."""
+
+    at: np.ndarray  # the token
+    key: np.ndarray
+    word: np.ndarray
+    seen: np.ndarray
+
+    def by_row(self, rows: np.ndarray) -> pa.Array:
+        """A list of (key, word, seen) for each text."""
+        by = np.argsort(self.at, kind="stable")
+        offsets = np.searchsorted(self.at[by], rows)
+        fields = [pa.array(self.key[by].view(np.int64)), pa.array(self.word[by].view(np.int64)), pa.array(self.seen[by].astype(np.int8))]
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.StructArray.from_arrays(fields, ["key", "word", "seen"]))
+
+
 def stream(texts: pa.Array, order: int) -> Stream:
     words, rows = textops.word_hashes(*textops.text_buffer(texts))
     n_rows = len(rows) - 1
@@ -107,13 +124,15 @@ def floor_for(counts: DataFrame, most: int, cost: Callable[[int], int] = lambda
     return floor if floor is not None else (1 << 62)
 
 
-def additive_scores(docs: DataFrame, table: DataFrame, order: int, keys: Callable[[Stream], list[np.ndarray]], text: str, keep: list[str], extra: Callable[[Stream], np.ndarray] | None = None, hot_keys: int = HOT_KEYS) -> DataFrame:
+def additive_scores(docs: DataFrame, table: DataFrame, order: int, keys: Callable[[Stream], list[np.ndarray]], text: str, keep: list[str], extra: Callable[[Stream], tuple[np.ndarray, Asks]] | None = None, hot_keys: int = HOT_KEYS, answer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """keep with n_tokens, total and found (and extra) of each text of docs.
 
     table: key, n (how common it is) and w, distinct by key.  total sums w, and found counts, over
     those keys of the text that are in table.  The weights of the commonest keys, hot_keys
     at most, are broadcast; other keys that a bit array of bounded size can't rule out are
     written with their row and meet their weights in a join, each key being rare there.
+    extra gives a number for each text and what it had to leave open; answer makes of the open
+    (_row, key, word, seen) the numbers (_row, t) that are added to it.
     """
     spark = docs.sparkSession
     floor = floor_for(table, hot_keys)
@@ -125,6 +144,9 @@ def additive_scores(docs: DataFrame, table: DataFrame, order: int, keys: Callabl
     # numbers and what else the scan itself adds must not depend on the names in docs
     source = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)), F.col(text).alias("_text"))
     schema = source.drop("_text").schema.add("_row", "long").add("n_tokens", "long").add("_total", "double").add("_found", "long").add("_extra", "double").add("_rest", T.ArrayType(T.LongType()))
+    open_kept = answer is not None
+    if open_kept:
+        schema = schema.add("_asks", T.ArrayType(T.StructType().add("key", "long").add("word", "long").add("seen", "byte")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_keys, weights, bits = sent.value
@@ -145,15 +167,22 @@ def additive_scores(docs: DataFrame, table: DataFrame, order: int, keys: Callabl
                 by = np.argsort(left_all[0], kind="stable")
                 offsets = np.searchsorted(left_all[0][by], np.arange(part.num_rows + 1))
                 rest_keys = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(left_all[1][by]))
-                more = extra(s) if extra else np.zeros(part.num_rows)
+                more, asks = extra(s) if extra else (np.zeros(part.num_rows), None)
+                columns = [pa.array(np.diff(s.rows)), pa.array(total), pa.array(found), pa.array(more), rest_keys]
+                if open_kept:
+                    columns.append(asks.by_row(s.rows))
                 numbers = pa.array(np.arange(row, row + part.num_rows))
                 row += part.num_rows
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], numbers, pa.array(np.diff(s.rows)), pa.array(total), pa.array(found), pa.array(more), rest_keys], schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], numbers, *columns], schema.names)
 
     scanned = store.materialise(source.mapInArrow(run, schema), "scores")
     late = scanned.select("_row", F.explode("_rest").alias("key")).join(rest.select("key", "w"), "key")
     late = late.groupBy("_row").agg(F.sum("w").alias("_w"), F.count("*").alias("_k"))
+    if answer:
+        terms = answer(scanned.select("_row", F.explode("_asks").alias("_ask")).select("_row", "_ask.*")).groupBy("_row").agg(F.sum("t").alias("_t"))
+        late = late.join(terms, "_row", "full")
     names = [F.col(f"_{i}").alias(c) for i, c in enumerate(keep)]
     total, found = F.col("_total") + F.coalesce("_w", F.lit(0.0)), F.col("_found") + F.coalesce("_k", F.lit(0))
-    out = scanned.drop("_rest").join(late, "_row", "left").select(*names, "n_tokens", total.alias("total"), found.alias("found"), F.col("_extra").alias("extra"))
+    more = F.col("_extra") + F.coalesce("_t", F.lit(0.0)) if answer else F.col("_extra")
+    out = scanned.drop("_rest", "_asks").join(late, "_row", "left").select(*names, "n_tokens", total.alias("total"), found.alias("found"), more.alias("extra"))
     return out if extra else out.drop("extra")

@@ -217,6 +217,14 @@ def test_op5(spark, folder, texts, hot):
         assert abs(r["base_score"] - base) < 1e-8 * max(1, abs(base)) and r["score"] < 0
 
 
+def test_op5_reads_what_the_filter_has_no_room_for(spark, folder, texts):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    scores = [{r["doc_id"]: r["score"] for r in lm_scoring.lm_scores(docs, queries._fold(5) != 1, most_bits=b, shard_bits=s).collect()} for b, s in ((28, 24), (6, 24), (9, 8))]
+    for i in range(len(texts)):
+        # a false positive may move a few tokens
+        assert all(abs(x[i] - scores[0][i]) <= 0.02 * abs(scores[0][i]) for x in scores[1:])
+
+
 def test_count_filter_reads_levels_back():
     keys = textops.mix(np.arange(1, 2001, dtype=np.uint64))
     n = np.array([1 + i % 300 for i in range(2000)])
