@@ -28,8 +28,6 @@ from . import blooms, ngrams, store, textops
 from .ngrams import Stream
 from .textops import U64
 
-#: Words whose pairs are counted: the commonest.
-PAIR_WORDS = 1 << 16
 MU = 400.0
 #: Words whose levels every worker holds apart, so that a shard gets few pairs of the same word.
 COMMON_WORDS = 1 << 16
@@ -147,10 +145,11 @@ def _shard_terms(asked: DataFrame, rest: DataFrame, shards: int, p_word, mu: flo
     return both.sortWithinPartitions(F.col("_row") >= 0).mapInArrow(run, "_row long, t double")
 
 
-def lm_scores(docs: DataFrame, in_training: Column, text: str = "text", keep: list[str] | None = None, most_bits: int = 28, mu: float = MU, pair_words: int = PAIR_WORDS, hot_keys: int = ngrams.HOT_KEYS, shard_bits: int = SHARD_BITS) -> DataFrame:
+def lm_scores(docs: DataFrame, in_training: Column, text: str = "text", keep: list[str] | None = None, most_bits: int = 28, mu: float = MU, pair_words: int | None = None, hot_keys: int = ngrams.HOT_KEYS, shard_bits: int = SHARD_BITS) -> DataFrame:
     """keep (default doc_id), n_tokens, n_known, train_tokens, base_score and score of each text.
 
-    in_training: over docs' columns, the rows to learn from.
+    in_training: over docs' columns, the rows to learn from.  All pairs are counted, or, with
+    pair_words, those among so many of the commonest words.
     """
     spark = docs.sparkSession
     store.ship(spark)
@@ -163,8 +162,10 @@ def lm_scores(docs: DataFrame, in_training: Column, text: str = "text", keep: li
     listed = words.where(F.col("n") >= ngrams.floor_for(words, COMMON_WORDS)).select("key", "n").toArrow()
     listed_levels = np.frexp(listed.column("n").to_numpy().astype(np.float64))[1]
     sent_common = spark.sparkContext.broadcast((listed.column("key").to_numpy().view(np.uint64), listed_levels))  # COMMON_WORDS at most
-    paired = words.where(F.col("n") >= ngrams.floor_for(words, pair_words)).select("key").toArrow().column("key").to_numpy().view(np.uint64)
-    sent_paired = spark.sparkContext.broadcast(paired)  # pair_words keys at most
+    sent_paired = None
+    if pair_words is not None:
+        paired = words.where(F.col("n") >= ngrams.floor_for(words, pair_words)).select("key").toArrow()
+        sent_paired = spark.sparkContext.broadcast(paired.column("key").to_numpy().view(np.uint64))
 
     def previous_of(s: Stream) -> np.ndarray:
         # the end of the text before stands before a first word
@@ -173,6 +174,8 @@ def lm_scores(docs: DataFrame, in_training: Column, text: str = "text", keep: li
         return previous
 
     def paired_of(word: np.ndarray, previous: np.ndarray) -> np.ndarray:
+        if sent_paired is None:
+            return np.ones(len(word), dtype=bool)
         index = textops.KeyIndex(sent_paired.value)
         return (index.find(word) >= 0) & (index.find(previous) >= 0)
 
@@ -191,7 +194,7 @@ def lm_scores(docs: DataFrame, in_training: Column, text: str = "text", keep: li
         word, previous = word[both], previous[both]
         return [keys_of(word, previous, textops.KeyIndex(sent_common.value[0]).find(word) >= 0)]
 
-    pairs = store.materialise(ngrams.count_keys(training, pair_keys, 2, text).where("n > 1"), "pairs")
+    pairs = store.materialise(ngrams.count_keys(training, pair_keys, 2, text), "pairs")
     levels = lambda n: n.bit_length()
     room = (1 << most_bits) // 8
     both = words.unionByName(pairs)
