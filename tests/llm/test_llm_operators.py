@@ -312,6 +312,16 @@ def test_op6_probabilities(spark, folder, texts, order, hot):
         assert abs(r["log10_prob"] - model(plain_words(texts[r["doc_id"]]))) < 1e-6 * (1 + abs(r["log10_prob"])), r
 
 
+def test_op6_has_a_third_order_model_by_default(spark, folder, texts):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    chosen = [i for i, t in enumerate(texts) if i % 3 == 0]
+    weights, unknown = quality.fit(docs.where(F.col("doc_id") % 3 == 0))
+    model = brute_kneser_ney([plain_words(texts[i]) for i in chosen], 3)
+    for r in quality.log_probabilities(docs, weights, unknown).collect():
+        assert abs(r["log10_prob"] - model(plain_words(texts[r["doc_id"]]))) < 1e-6 * (1 + abs(r["log10_prob"])), r
+    assert quality.MOST_TRUSTED >= 4000
+
+
 def test_op6_rejects_what_differs(spark):
     rng = random.Random(6)
     docs = [(i, words_text(rng, 80), "en") for i in range(120)] + [(1000 + i, " ".join(f"zq{rng.random()}" for _ in range(80)), "en") for i in range(10)] + [(2000, words_text(rng, 80), None), (2001, None, "xx"), (None, words_text(rng, 50), "en")]
