@@ -322,6 +322,18 @@ def test_op6_has_a_third_order_model_by_default(spark, folder, texts):
     assert quality.MOST_TRUSTED >= 4000
 
 
+def test_op6_thresholds_are_the_quantile_alone(spark):
+    # trusted texts that lie close together: all hold the same words, in another order
+    rng = random.Random(9)
+    words = [f"w{i % 60}" for i in range(600)]
+    docs = [(i, " ".join(rng.sample(words, 600)), "en") for i in range(60)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")
+    # what isn't in the sample is the highest of the calibration texts or below
+    got = quality.classify(docs, labels, order=1).collect()
+    assert any(abs(r["perplexity"] - r["threshold"]) < 1e-6 * r["threshold"] for r in got)
+
+
 def test_op6_rejects_what_differs(spark):
     rng = random.Random(6)
     docs = [(i, words_text(rng, 80), "en") for i in range(120)] + [(1000 + i, " ".join(f"zq{rng.random()}" for _ in range(80)), "en") for i in range(10)] + [(2000, words_text(rng, 80), None), (2001, None, "xx"), (None, words_text(rng, 50), "en")]
