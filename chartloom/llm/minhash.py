@@ -216,8 +216,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each group of near-duplicates: the one of the smallest id.
 
-    Of rows that repeat an id one stays; rows with a null id, which can't be told apart, all go.
+    Rows are told apart by id and text, so that those sharing an id, or without one, go only
+    as copies.  Of a group without any id, the one of the smallest hash stays.
     """
-    found = near_duplicates(docs, k, percent, doc_id, text)
-    keep = found.where("kept").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(keep, doc_id, "left_semi").dropDuplicates([doc_id]).select(docs.columns)
+    keyed = docs.withColumn("__row", F.xxhash64(doc_id, text))
+    found = near_duplicates(keyed, k, percent, "__row", text).select(F.col("doc_id").alias("__row"), "component_id")
+    ids = keyed.select("__row", F.col(doc_id).alias("_id"))
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "__row"))
+    keep = found.join(ids, "__row").groupBy("component_id").agg(first.alias("x")).select("x.__row")
+    return keyed.join(keep, "__row", "left_semi").dropDuplicates(["__row"]).select(docs.columns)

@@ -163,6 +163,14 @@ def test_op2_null_ids_and_repeats(spark):
     assert sorted(r["doc_id"] for r in minhash.deduplicate(docs).collect()) == [2, 7]
 
 
+def test_deduplicate_keeps_unrelated_rows_of_the_same_or_no_id(spark):
+    rng = random.Random(4)
+    a, b, c, d = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(4))
+    docs = spark.createDataFrame([(4, a), (4, b), (4, b), (None, c), (None, d), (None, d), (None, a), (9, b), (None, "short"), (5, "short"), (4, None)], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["text"]) for r in minhash.deduplicate(docs).collect()), key=str)
+    assert got == sorted([(4, a), (4, b), (None, c), (None, d), (5, "short"), (4, None)], key=str)
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(90)] + [(5, 5), (None, 1)]
