@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_CONF, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, unless the session says otherwise.
+BATCH_BYTES = 4 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder named in spark.checkpoint.dir; in local mode one of our own where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="chartloom-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -24,26 +32,42 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/chartloom/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet to the shared folder and read it again.
 
     A lost executor then costs a re-read, never a recomputation of what stands
     before, and row numbers given before the write stay as they are.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a table of materialise() that nothing will read again."""
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def remove(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete the tables of materialise() that these read, when nothing will read them again."""
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    ours = path_of(f"{shared_dir(spark)}/chartloom").toUri().getPath()
+    for path in {path_of(file).getParent().toString() for df in tables for file in df.inputFiles()}:
+        path = path_of(path)
+        if path.getParent().toUri().getPath() == ours:
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that have ended, before the next ones are written.
+
+    The cleaner works when the driver's heap is collected, which otherwise may take half an hour.  Spark
+    holds on to the plan that ran last, so a small one runs first.
+    """
+    gc.collect()
+    spark.range(1).collect()
+    spark._jvm.System.gc()
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package also when it isn't installed there (local mode)."""
+    """Let Python workers import this package also when it isn't installed there (local mode), and bound their batches by bytes."""
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH")) if x)
+    if spark.conf.get(BATCH_CONF) == _BATCH_DEFAULT:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))

@@ -7,6 +7,7 @@ sums modulo 2**64 and moved to position 0 with the inverse power.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
+#: Bytes that are hashed at a time.
+CHUNK = 1 << 17
 _STEP = 0x9E3779B97F4A7C15 | 1
 _UNSTEP = pow(_STEP, -1, 1 << 64)
 _BYTE_VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -43,7 +46,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(33))
 
 
-def pieces(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about max_bytes of text each; one row at least."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)
@@ -55,6 +58,15 @@ def pieces(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 21) -> Iter
         at = to
 
 
+def settle() -> None:
+    """Give memory that a task no longer needs back to the system; idle workers then hold little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of a string array; null counts as empty."""
     texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
@@ -66,28 +78,45 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def _chunks(data: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of about size bytes that begin at white space, so that no word is cut."""
+    a, n = 0, len(data)
+    while a < n:
+        b = a + size
+        while b < n:
+            white = np.flatnonzero(_WHITE[data[b : b + 4096]])
+            if len(white):
+                b += int(white[0])
+                break
+            b += 4096
+        yield a, min(b, n)
+        a = min(b, n)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, and word offsets by row.
 
-    Word i of row r stands at ``row_offsets[r] + i``.
+    Word i of row r stands at ``row_offsets[r] + i``.  Bytes are taken CHUNK at a time, whatever
+    the length of a row, so that only the hashes grow with a text.
     """
-    n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    solid = ~_WHITE[data]
-    cut = np.ones(n + 1, dtype=bool)
-    cut[1:n] = ~solid[:-1]
-    cut[offsets[:-1]] = True  # a row's first byte begins a word
-    cut[n] = True
-    starts = np.flatnonzero(solid & cut[:-1])
-    last = np.ones(n, dtype=bool)
-    last[:-1] = ~solid[1:] | cut[1:-1]
-    ends = np.flatnonzero(solid & last)
-    sums = np.empty(n + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE_VALUES[_LOWER[data]] * _power_table(_STEP, n), out=sums[1:])
-    hashes = (sums[ends + 1] - sums[starts]) * _power_table(_UNSTEP, n)[starts]
-    return mix(hashes), np.searchsorted(starts, offsets)
+    hashes, begins = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for a, b in _chunks(data, CHUNK):
+        part, n = data[a:b], b - a
+        solid = ~_WHITE[part]
+        cut = np.ones(n + 1, dtype=bool)
+        cut[1:n] = ~solid[:-1]
+        rows = offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b)]
+        cut[rows - a] = True  # a row's first byte begins a word
+        starts = np.flatnonzero(solid & cut[:-1])
+        last = np.ones(n, dtype=bool)
+        last[:-1] = ~solid[1:] | cut[1:-1]
+        ends = np.flatnonzero(solid & last)
+        sums = np.empty(n + 1, dtype=np.uint64)
+        sums[0] = 0
+        np.cumsum(_BYTE_VALUES[_LOWER[part]] * _power_table(_STEP, n), out=sums[1:])
+        hashes.append(mix((sums[ends + 1] - sums[starts]) * _power_table(_UNSTEP, n)[starts]))
+        begins.append(starts + a)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(begins), offsets)
 
 
 def spread(row_offsets: np.ndarray) -> np.ndarray:
@@ -104,6 +133,16 @@ def by_row(values: np.ndarray, row_offsets: np.ndarray) -> np.ndarray:
 class KeyIndex:
     """An open-addressing hash table from 64-bit keys to positions, probed by whole arrays."""
 
+    _latest: tuple[object, "KeyIndex"] | None = None
+
+    @classmethod
+    def once(cls, of: object, keys: np.ndarray) -> "KeyIndex":
+        """The index of keys that ``of`` (an id) stands for: a worker builds it once and keeps the latest."""
+        if cls._latest is None or cls._latest[0] != of:
+            cls._latest = None
+            cls._latest = (of, cls(keys))
+        return cls._latest[1]
+
     def __init__(self, keys: np.ndarray):
         """keys: distinct."""
         self.bits = max(4, int(2 * max(1, len(keys)) - 1).bit_length())

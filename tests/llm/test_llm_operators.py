@@ -214,7 +214,7 @@ def test_op4(spark, folder, texts):
 @pytest.mark.parametrize("hot", [ngrams.HOT_KEYS, 5])
 def test_op5(spark, folder, texts, hot):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    got = {r["doc_id"]: r for r in lm_scoring.lm_scores(docs, queries._fold(5) != 1, hot_keys=hot, pair_words=8).collect()}
+    got = {r["doc_id"]: r for r in lm_scoring.lm_scores(docs, queries._fold(5) != 1, hot_keys=hot).collect()}
     tokens = {i: [*plain_words(t), None] for i, t in enumerate(texts)}
     count = Counter(x for i, w in tokens.items() if fold(i, 5) != 1 for x in w)
     n, v = sum(count.values()), len(count)
@@ -253,18 +253,20 @@ def test_op5_counts_pairs_of_all_words_and_those_seen_once(spark):
 def test_count_filter_reads_levels_back():
     keys = textops.mix(np.arange(1, 2001, dtype=np.uint64))
     n = np.array([1 + i % 300 for i in range(2000)])
-    width = 18
-    bits = np.zeros(1 << (width - 6), dtype=np.uint64)
-    for k, c in zip(keys, n, strict=True):
-        for q in range(1, int(c).bit_length() + 1):
-            for at in lm_scoring.CountFilter.level_places(np.array([k]), q, width):
-                bits[int(at[0]) >> 6] |= np.uint64(1 << (int(at[0]) & 63))
-    read = lm_scoring.CountFilter(bits, width).counts(keys)
     level = np.array([int(c).bit_length() for c in n])
-    want = np.where(level == 1, 1.0, 0.75 * 2.0**level)
-    assert (read >= want).all() and (read == want).mean() > 0.8  # a false positive only raises a level
-    absent = lm_scoring.CountFilter(bits, width).counts(textops.mix(np.arange(10**6, 10**6 + 2000, dtype=np.uint64)))
-    assert (absent == 0).mean() > 0.8
+    known = lm_scoring.CountFilter.of(keys, level.astype(np.uint8))
+    read = known.levels(keys)
+    assert (read >= level).all() and (read == level).mean() > 0.95  # a false positive only raises a level
+    assert (known.levels(textops.mix(np.arange(10**6, 10**6 + 2000, dtype=np.uint64))) == 0).mean() > 0.95
+
+
+def test_packed_filter_is_that_of_all_keys(spark):
+    rows = [(int(k), 1 + i % 9) for i, k in enumerate(textops.mix(np.arange(1, 3001, dtype=np.uint64)).view(np.int64))]
+    counts = spark.createDataFrame(rows, "key long, n long").repartition(5)
+    bits = lm_scoring.fill_filter(counts, 18)
+    whole = lm_scoring.CountFilter(np.zeros(1 << 12, np.uint64), 18)
+    whole.add(np.array([k for k, _ in rows], np.int64).view(np.uint64), np.array([n.bit_length() for _, n in rows], np.uint8))
+    assert (bits == whole.bits).all()
 
 
 def brute_kneser_ney(sample, order):
@@ -462,7 +464,7 @@ def test_op10(spark, folder, texts):
 def test_bit_arrays_agree(spark):
     keys = spark.range(500).select(F.xxhash64("id").alias("h"))
     width = blooms.bit_width(500)
-    bits = blooms.fill(keys, blooms.key_places("h", width), width)
+    bits = blooms.fill(keys, width, ["h"])
     mine = np.array([r["h"] for r in keys.collect()], dtype=np.int64)
     other = np.array([r["h"] for r in spark.range(10**6, 10**6 + 2000).select(F.xxhash64("id").alias("h")).collect()], dtype=np.int64)
     assert blooms.contains(bits, mine, width).all() and blooms.contains(bits, other, width).mean() < 0.05
