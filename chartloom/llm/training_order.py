@@ -1,23 +1,25 @@
 """Token ids in training order: a keyed permutation of all sequences, written as fixed-stride shards.
 
 Every text becomes its byte-level BPE ids and an end id, cut into sequences of ``length`` ids (the last
-one padded).  A first scan counts the sequences of each partition; their running sum
-numbers all sequences 0..N-1 in the order of the input.  A Feistel network over the next even
+one padded).  A scan writes the ids of each text with the number of its first sequence in its
+partition; the partitions' running sum then numbers all sequences 0..N-1.  A Feistel network over the next even
 power of two, walked until the value is below N, gives each its global slot.  Slots
-are dealt to shards by ranges of ``shard_rows``; each shard is one sorted file of records of the
-same number of bytes, so slot s is at byte (s % shard_rows) * stride of shard s // shard_rows,
+are dealt to shards by ranges of ``shard_rows``; each shard is one sorted file, made in an array of bounded
+size, of records of the same number of bytes, so slot s is at byte (s % shard_rows) * stride of shard s // shard_rows,
 and reading goes on from any slot.
 
 The text writer stores the records: it copies a string's bytes as they are and ends each with
 one byte, so any store that Spark writes to will do, and its committer sees to lost executors.
 
 Defined results: null and empty texts give one sequence that holds the end id; repeated
-rows give sequences of their own; a null id is written as the least long and read as null;
-an empty table gives no shard.
+rows give sequences of their own; a null id is written as the least long and read as null; a text's
+ids, two bytes each, are held by one row, however many; an empty table gives no shard; columns
+of docs other than id and text aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -37,7 +39,12 @@ SHARD_ROWS = 1 << 15
 END_ID = 50256
 KEY = 0x5EED0FC0DE
 MEMO_PARTS = 100_000
+#: Rounds in which shards are made: what a shuffle takes of the disk is divided by it.
+ROUNDS = 2
+#: Bytes of ids whose records are placed together.
+LOT = 4 << 20
 _NULL_ID = -(1 << 63)
+_NAME = r"from-(\d+)/part-(\d+)-"
 _HEADER = np.dtype([("slot", "<i8"), ("doc_id", "<i8"), ("sequence", "<i4"), ("n_tokens", "<i4")])
 
 
@@ -137,14 +144,6 @@ class FlatEncoder:
         whole |= np.fromiter(map(len, heads), np.int64, len(heads)) == 0
         return rests, lens, code, use, at, heads, whole
 
-    def counts(self, texts: pa.Array) -> np.ndarray:
-        """The number of ids of each text."""
-        _, _, _, use, at, heads, whole = self._split(texts)
-        n = np.add.reduceat(use, at[:-1]) + np.fromiter(map(len, heads), np.int64, len(heads)) // 2
-        for r in np.flatnonzero(whole):
-            n[r] = len(self.library.encode_ordinary(texts[int(r)].as_py() or ""))
-        return n
-
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the offsets of the texts."""
         rests, lens, code, use, at, heads, whole = self._split(texts)
@@ -168,26 +167,32 @@ def stride(length: int = LENGTH) -> int:
     return _HEADER.itemsize + 2 * length + 1
 
 
-def write_shards(docs: DataFrame, path: str, length: int = LENGTH, shard_rows: int = SHARD_ROWS, key: int = KEY, ranks: str | None = None, pattern: str = public_tokenizers.PATTERN, doc_id: str = "doc_id", text: str = "text") -> int:
+def write_shards(docs: DataFrame, path: str, length: int = LENGTH, shard_rows: int = SHARD_ROWS, key: int = KEY, ranks: str | None = None, pattern: str = public_tokenizers.PATTERN, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> int:
     """Write all sequences of docs under path; the number of sequences.
 
-    docs is scanned twice and must give the same partitions both times, as stored
-    tables do; a partition that doesn't match its count fails the job.
+    docs is scanned once; its ids are kept in the shared folder until the shards are written.  The
+    shards are made in so many rounds, each of which shuffles only its part of the records.
     """
     spark = docs.sparkSession
     store.ship(spark)
     ranks = ranks or public_tokenizers.path(bpe.VOCABULARY)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"))
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, n = FlatEncoder.of(ranks, pattern), 0
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, partition, number = FlatEncoder.of(ranks, pattern), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part in textops.pieces(batch, "_text", 1 << 22):
-                n += int(((encoder.counts(part.column("_text")) + length) // length).sum())  # ids and one end, rounded up
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n])], ["partition", "n"])
-
-    # one row for each partition of the scan
-    found = {r["partition"]: r["n"] for r in source.mapInArrow(counts, "partition long, n long").collect()}
+            for part in textops.pieces(batch, "_text", 1 << 20):
+                ids, at = encoder.encode(part.column("_text"))
+                n = (np.diff(at) + length) // length  # ids and one end, rounded up
+                first = number + np.cumsum(n) - n
+                number += int(n.sum())
+                held = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(2 * at), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, partition)), pa.array(first), pa.array(n), part.column("doc_id"), held.cast(pa.binary())], ["partition", "first", "n", "doc_id", "ids"])
+        textops.settle()
+
+    # texts are encoded once; a partition's rows are numbered as they are written, so a repeated task changes nothing
+    encoded = store.materialise(source.mapInArrow(encode, "partition long, first long, n long, doc_id long, ids binary"), "encoded", "zstd")
+    found = {r["partition"]: r["n"] for r in encoded.groupBy("partition").agg(F.sum("n").alias("n")).collect()}  # a row for each partition
     total, begins = 0, {}
     for partition in sorted(found):
         begins[partition] = total
@@ -196,52 +201,79 @@ def write_shards(docs: DataFrame, path: str, length: int = LENGTH, shard_rows: i
         return 0
     order = Feistel(total, key)
 
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, partition = FlatEncoder.of(ranks, pattern), TaskContext.get().partitionId()
-        number = begins[partition]
+    def records_of(from_shard: int, to_shard: int):
+        def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            codec = pa.Codec("zstd", compression_level=1)
+            for batch in batches:
+                for part in textops.pieces(batch, "ids", LOT):
+                    ids, at = textops.text_buffer(part.column("ids"))
+                    ids, at = np.frombuffer(ids, dtype="<u2"), at // 2
+                    n = part.column("n").to_numpy()
+                    row = np.repeat(np.arange(part.num_rows), n)
+                    sequence = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+                    begin = np.array([begins[x] for x in part.column("partition").to_pylist()], dtype=np.int64) + part.column("first").to_numpy()
+                    slot = order.slots(begin[row] + sequence)
+                    shard = slot // shard_rows
+                    # records by shard; a shard's records of this lot travel together, compressed
+                    by = np.argsort(shard, kind="stable")
+                    by = by[(shard[by] >= from_shard) & (shard[by] < to_shard)]
+                    shard, row, sequence = shard[by], row[by], sequence[by]
+                    left = np.diff(at)[row] - sequence * length  # ids from the record's first on; the end follows the last
+                    used = np.minimum(left, length)
+                    body = np.zeros((len(by), length), dtype="<u2")
+                    here = np.arange(length) < used[:, None]
+                    place = np.repeat(at[:-1][row] + sequence * length - (np.cumsum(used) - used), used) + np.arange(int(used.sum()))
+                    body[here] = ids[place]
+                    last = np.flatnonzero(left < length)
+                    body[last, left[last]] = END_ID
+                    header = np.zeros(len(by), dtype=_HEADER)
+                    header["slot"] = slot[by]
+                    header["doc_id"] = part.column("doc_id").fill_null(_NULL_ID).to_numpy(zero_copy_only=False)[row]
+                    header["sequence"] = sequence
+                    header["n_tokens"] = np.minimum(left + 1, length)
+                    out = np.concatenate([header.view(np.uint8).reshape(len(by), -1), body.view(np.uint8).reshape(len(by), -1)], axis=1)
+                    cuts = np.flatnonzero(np.diff(shard, prepend=-1)).tolist()
+                    packs = [out[a:z].tobytes() for a, z in zip(cuts, [*cuts[1:], len(by)], strict=True)]
+                    sizes = pa.array([len(x) for x in packs], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(shard[cuts]), sizes, pa.array([codec.compress(x, asbytes=True) for x in packs], pa.binary())], ["shard", "size", "pack"])
+            textops.settle()
+
+        return records
+
+    def shard_file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, grid, held, first = pa.Codec("zstd"), None, 0, 0
         for batch in batches:
-            for part in textops.pieces(batch, "_text", 1 << 22):
-                ids, at = encoder.encode(part.column("_text"))
-                n = (np.diff(at) + length) // length
-                row = np.repeat(np.arange(part.num_rows), n)
-                sequence = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                out = np.zeros((len(row), stride(length) - 1), dtype=np.uint8)
-                body = np.zeros(len(row) * length, dtype="<u2")
-                first = np.cumsum(n) - n
-                place = np.arange(len(ids)) + np.repeat(first * length - at[:-1], np.diff(at))
-                body[place] = ids
-                body[first * length + np.diff(at)] = END_ID
-                header = np.zeros(len(row), dtype=_HEADER)
-                header["slot"] = order.slots(np.arange(number, number + len(row)))
-                header["doc_id"] = part.column("doc_id").fill_null(_NULL_ID).to_numpy(zero_copy_only=False)[row]
-                header["sequence"] = sequence
-                header["n_tokens"] = np.minimum(np.diff(at)[row] + 1 - sequence * length, length)
-                out[:, : _HEADER.itemsize] = header.view(np.uint8).reshape(len(row), -1)
-                out[:, _HEADER.itemsize :] = body.view(np.uint8).reshape(len(row), -1)
-                number += len(row)
-                data = pa.py_buffer(np.ascontiguousarray(out).reshape(-1))
-                for a in range(0, len(row), 4096):  # small batches: a record is half a kilobyte
-                    z = min(a + 4096, len(row))
-                    fixed = pa.Array.from_buffers(pa.binary(out.shape[1]), z - a, [None, data], offset=a)
-                    yield pa.RecordBatch.from_arrays([pa.array(header["slot"][a:z]), fixed.cast(pa.binary())], ["slot", "record"])
-        if number != begins[partition] + found[partition]:
-            raise RuntimeError("the table changed between the two scans")
+            for shard, size, pack in zip(batch.column("shard").to_pylist(), batch.column("size").to_pylist(), batch.column("pack"), strict=True):
+                if grid is None:
+                    first = shard * shard_rows
+                    grid = np.zeros((min(shard_rows, total - first), stride(length) - 1), dtype=np.uint8)
+                rows = np.frombuffer(codec.decompress(pack.as_buffer(), size), np.uint8).reshape(-1, grid.shape[1])
+                slots = np.ascontiguousarray(rows[:, : _HEADER.itemsize]).view(_HEADER)["slot"][:, 0]
+                grid[slots - first] = rows
+                held += len(rows)
+        if grid is None or held != len(grid):
+            raise RuntimeError("a shard lacks records")
+        data = pa.py_buffer(grid.reshape(-1))
+        for a in range(0, len(grid), 4096):
+            n = min(4096, len(grid) - a)
+            fixed = pa.Array.from_buffers(pa.binary(grid.shape[1]), n, [None, data], offset=a)
+            yield pa.RecordBatch.from_arrays([fixed.cast(pa.binary())], ["record"])
+        textops.settle()
 
     shards = (total + shard_rows - 1) // shard_rows
-    placed = source.mapInArrow(records, "slot long, record binary")
-    placed = placed.repartitionById(shards, F.expr(f"cast(slot div {shard_rows} as int)")).sortWithinPartitions("slot")
-    placed.select(F.col("record").cast("string")).write.text(path)
+    for a in range(0, shards, -(-shards // rounds)):
+        z = min(shards, a + -(-shards // rounds))
+        placed = encoded.mapInArrow(records_of(a, z), "shard long, size long, pack binary").repartitionById(z - a, (F.col("shard") - a).cast("int"))
+        placed.mapInArrow(shard_file, "record binary").select(F.col("record").cast("string")).write.text(f"{path}/from-{a}")
+        store.release(spark)
+    store.remove(spark, encoded)
     return total
 
 
-def _shard_of(path: str = "path") -> "F.Column":
-    return F.regexp_extract(path, r"part-(\d+)-", 1).cast("long")
-
-
 def read_shards(spark: SparkSession, path: str, length: int = LENGTH, shard_rows: int = SHARD_ROWS, from_slot: int = 0, with_ids: bool = True) -> DataFrame:
     """slot, shard, byte_offset, doc_id, sequence, n_tokens, ids_crc32 (and token_ids) from from_slot on, in file order.
 
-    Shards that end before from_slot aren't opened.
+    Files of shards that end before from_slot aren't read; within its own shard, reading begins at the slot's byte.
     """
     store.ship(spark)
     schema = "slot long, shard long, byte_offset long, doc_id long, sequence int, n_tokens int, ids_crc32 long" + ", token_ids array<int>" * with_ids
@@ -263,9 +295,21 @@ def read_shards(spark: SparkSession, path: str, length: int = LENGTH, shard_rows
                         columns.append(pa.array([x[:m].astype(np.int32) for x, m in zip(ids, n, strict=True)], pa.list_(pa.int32())))
                     yield pa.RecordBatch.from_arrays(columns, ["slot", "shard", "byte_offset", "doc_id", "sequence", "n_tokens", "ids_crc32", "token_ids"][: len(columns)])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    wanted = files.select(_shard_of().alias("shard"), "content").where(F.col("shard") >= from_slot // shard_rows)
-    return wanted.mapInArrow(run, schema)
+    wanted = shard_files(spark, path, from_slot // shard_rows)
+    if not wanted:
+        return spark.createDataFrame([], schema)
+    files = spark.read.format("binaryFile").load(wanted)
+    shard = F.regexp_extract("path", _NAME, 1).cast("long") + F.regexp_extract("path", _NAME, 2).cast("long")
+    return files.select(shard.alias("shard"), "content").mapInArrow(run, schema)
+
+
+def shard_files(spark: SparkSession, path: str, from_shard: int = 0) -> list[str]:
+    """The shards under path from from_shard on, in order, by their names alone."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().toString() for part in files.listStatus(folder) for x in files.listStatus(part.getPath())] if files.exists(folder) else []
+    numbered = sorted((int(m[1]) + int(m[2]), x) for x in names if (m := re.search(_NAME, x)))
+    return [x for i, x in numbered if i >= from_shard]
 
 
 def materialise(docs: DataFrame, **more) -> DataFrame:
