@@ -6,8 +6,9 @@ something else; the parts are encoded apart, in batches of about equal bytes, an
 lengths of frequent parts stay in a bounded memo of the worker.
 
 Defined results: null text counts as empty, empty text has no tokens and no bytes,
-repeated rows give repeated results, an empty table an empty one; other columns are
-not read.
+repeated rows give repeated results, null ids are passed on, the longest texts are counted whole in
+parts, an empty table gives an empty one; other columns are not read, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -70,15 +71,19 @@ def count_tokens(docs: DataFrame, path: str | None = None, text: str = "text", l
     """The columns in keep (default doc_id) with n_bytes, n_tokens and over_limit of each whole text."""
     store.ship(docs.sparkSession)
     path, keep = path or public_tokenizers.path(MODEL), keep if keep is not None else ["doc_id"]
-    schema = docs.select(keep).schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
+    inner = [f"_{i}" for i in range(len(keep))]
+    made = ["n_bytes", "n_tokens", "over_limit"]
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+    source = docs.select(*(F.col(c).alias(x) for c, x in zip(keep, inner, strict=True)), size.alias("n_bytes"), F.col(text).alias("_text"))
+    schema = source.drop("_text").schema.add("n_tokens", "long").add("over_limit", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PieceCounter.of(path)
         for batch in batches:
-            counts = []
-            for part in textops.pieces(batch, "_text", 1 << 20):
-                counts += counter.count([x or "" for x in part.column("_text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.select([*keep, "_bytes"]).columns, pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], schema.names)
+            for part in textops.pieces(batch, "_text"):
+                counts = counter.count([x or "" for x in part.column("_text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], schema.names)
+        textops.settle()
 
-    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
-    return docs.select(*keep, F.col(text).alias("_text"), size.alias("_bytes")).mapInArrow(run, schema)
+    counted = source.mapInArrow(run, schema)
+    return counted.select(*(F.col(x).alias(c) for c, x in zip(keep, inner, strict=True)), *made)
