@@ -3,15 +3,18 @@
 A text's features are the distinct hashed n-grams of its lower-cased characters, with a
 space before and after.  Each is scaled by r = log of (its smoothed share among toxic
 training rows / its share among the others), and a logistic regression is fitted to the
-scaled features.
+scaled features, all of them.
 
 The classifier is fitted on a bounded sample of labelled rows: at most ``per_class`` of
-each label, those first in the order of a hash of their id.  Scoring reads every text in full.
+each label, those first in the order of a hash of their id.  Scoring reads every text in full,
+a bounded number of characters at a time.
 
 Defined results: null and empty texts have no n-gram but the pad, so they get the score
-of the bias; labels other than 0 and 1, and null ids, train nothing; where an id has
-several labels, the greatest counts; repeated rows give repeated results.  Without
-labels of both kinds every score is the share of toxic labels (0 without any).
+of the bias; labels other than 0 and 1, and null ids, train nothing, but rows with a null id are
+scored; where an id has several labels, the greatest counts; where it has several texts, one of them
+trains; repeated rows give repeated results; an empty table gives an empty table; further columns are
+passed on by score(), one of the result's name is replaced.  Without labels of both kinds every score
+is the share of toxic labels (0 without any).
 """
 
 from __future__ import annotations
@@ -31,8 +34,10 @@ BITS = 18
 ORDERS = (3, 4, 5)
 #: Bound of the fitted sample: labelled rows of each class.
 PER_CLASS = 4000
-#: Features that the regression keeps (fewer than 2**16), by the weight of evidence in the sample.
-N_FEATURES = 30_000
+#: Characters hashed, and features of the fit handled, at a time.
+CHARACTERS, ENTRIES = 1 << 16, 1 << 21
+#: Stands for a step of so many buckets without a feature.
+_SKIP = 0xFFFF
 _C1, _C2 = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 
 
@@ -45,64 +50,111 @@ class Model:
 
 
 def buckets(text: str | None, mark: np.ndarray) -> np.ndarray:
-    """The distinct feature buckets of a text.  mark: zeros of 2**BITS, left as they were."""
-    chars = np.frombuffer(f" {(text or '').lower()} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    chars = (chars + np.uint32(1)) * _C1
-    chars ^= chars >> np.uint32(15)
-    key = chars
-    for n in range(2, max(ORDERS) + 1):
-        if len(chars) < n:
-            break
-        key = key[:-1] * np.uint32(0x01000193) ^ chars[n - 1 :]
-        if n in ORDERS:
-            h = (key ^ (key >> np.uint32(16))) * _C2
-            mark[h >> np.uint32(32 - BITS)] = 1
+    """The distinct feature buckets of a text, sorted.  mark: zeros of 2**BITS, left as they were."""
+    text = f" {(text or '').lower()} "
+    for a in range(0, max(1, len(text) - max(ORDERS) + 1), CHARACTERS):
+        # parts overlap, so that no n-gram is cut
+        chars = np.frombuffer(text[a : a + CHARACTERS + max(ORDERS) - 1].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        chars = (chars + np.uint32(1)) * _C1
+        chars ^= chars >> np.uint32(15)
+        key = chars
+        for n in range(2, max(ORDERS) + 1):
+            if len(chars) < n:
+                break
+            key = key[:-1] * np.uint32(0x01000193) ^ chars[n - 1 :]
+            if n in ORDERS:
+                h = (key ^ (key >> np.uint32(16))) * _C2
+                mark[h >> np.uint32(32 - BITS)] = 1
     found = np.flatnonzero(mark)
     mark[found] = 0
     return found
 
 
-def choose(seen: np.ndarray, alpha: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of most evidence, and their log-count ratios, from the rows of each label that hold each bucket."""
-    share = [(x + alpha) / (x.sum() + alpha * len(x)) for x in seen]
-    ratio = np.log(share[1] / share[0])
-    df = seen[0] + seen[1]
-    evidence = np.where(df >= 2, np.abs(ratio) * np.sqrt(df), 0)
-    kept = np.argsort(-evidence, kind="stable")[:N_FEATURES]
-    return kept, ratio[kept]
+def steps_between(found: np.ndarray) -> bytes:
+    """Sorted buckets as steps of two bytes each."""
+    steps = np.diff(found, prepend=0)
+    skips = steps // _SKIP
+    out = np.full(len(found) + int(skips.sum()), _SKIP, dtype=np.uint16)
+    out[np.arange(len(found)) + np.cumsum(skips)] = steps % _SKIP
+    return out.tobytes()
 
 
-def places_of(kept: np.ndarray) -> np.ndarray:
-    """For each bucket its place in kept, or -1."""
-    place = np.full(1 << BITS, -1, np.int32)
-    place[kept] = np.arange(len(kept), dtype=np.int32)
-    return place
+def from_steps(data: bytes | memoryview) -> np.ndarray:
+    steps = np.frombuffer(data, dtype=np.uint16)
+    return np.cumsum(steps, dtype=np.int64)[steps != _SKIP].astype(np.int32)
 
 
-def regress(cols: list[np.ndarray], labels: np.ndarray, kept: np.ndarray, ratio: np.ndarray, prior: float, steps: int = 150, ridge: float = 3e-5) -> Model:
-    """Logistic regression on the kept features of each row, scaled by their ratios.
+def ratios(seen: np.ndarray, alpha: float = 0.1) -> np.ndarray:
+    """The log-count ratio of each bucket, from the rows of each label that hold it."""
+    share = [(x + alpha) / (x.sum() + alpha * len(x)) for x in seen]
+    return np.log(share[1] / share[0])
+
+
+def regress(cols: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, prior: float, steps: int = 40, ridge: float = 3e-5) -> Model:
+    """Logistic regression, by L-BFGS, on the buckets of each row, scaled by their ratios.
 
     prior: the share of label 1 that scores should assume.
     """
     prior = min(max(prior, 1e-6), 1 - 1e-6)
     if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(prior / (1 - prior))))
-    row = np.repeat(np.arange(len(cols), dtype=np.int32), [len(c) for c in cols])
-    col = np.concatenate(cols).astype(np.int32)
-    value = ratio[col].astype(np.float32)
     n, y = len(labels), labels.astype(np.float64)
-    w, bias, m, v = np.zeros(len(kept)), 0.0, np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
-    for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * w[col], n) + bias, -40, 40)))
-        error = (p - y) / n
-        g = np.append(np.bincount(col, value * error[row], len(kept)) + ridge * w, error.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        step = 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-        w, bias = w - step[:-1], bias - step[-1]
-    weights = np.zeros(1 << BITS, np.float32)
-    weights[kept] = w * ratio
+    sizes = np.array([len(c) for c in cols])
+    lots, at = [], 0
+    while at < n:  # rows of about ENTRIES features
+        to = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), ENTRIES, side="right")) + at)
+        lots.append((at, to, np.concatenate(cols[at:to])))
+        at = to
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        scaled, total, g = w[:-1] * ratio, 0.5 * ridge * float(w[:-1] @ w[:-1]), np.zeros(len(w))
+        for a, b, col in lots:
+            row = np.repeat(np.arange(b - a), sizes[a:b])
+            z = np.bincount(row, scaled[col], b - a) + w[-1]
+            total += float(np.logaddexp(0, np.where(y[a:b] > 0, -z, z)).sum()) / n
+            error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[a:b]) / n
+            g[:-1] += np.bincount(col, error[row], len(ratio))
+            g[-1] += error.sum()
+        g[:-1] = g[:-1] * ratio + ridge * w[:-1]
+        return total, g
+
+    w = least_by_lbfgs(loss, np.zeros(len(ratio) + 1), steps)
     sampled = float(y.mean())
-    return Model(weights, bias + float(np.log(prior / (1 - prior)) - np.log(sampled / (1 - sampled))))
+    return Model((w[:-1] * ratio).astype(np.float32), float(w[-1] + np.log(prior / (1 - prior)) - np.log(sampled / (1 - sampled))))
+
+
+def least_by_lbfgs(loss, w: np.ndarray, steps: int, memory: int = 6) -> np.ndarray:
+    """Where a smooth convex function is about least; loss(w): its value and gradient."""
+    value, g = loss(w)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        direction, used = -g, []
+        for s, d in reversed(pairs):
+            used.append(float(s @ direction) / float(s @ d))
+            direction = direction - used[-1] * d
+        if pairs:
+            s, d = pairs[-1]
+            direction = direction * (float(s @ d) / float(d @ d))
+        for (s, d), x in zip(pairs, reversed(used), strict=True):
+            direction = direction + (x - float(d @ direction) / float(s @ d)) * s
+        slope = float(g @ direction)
+        if slope > -1e-10:
+            break
+        step = 1.0 if pairs else 1.0 / max(1e-9, float(np.sqrt(g @ g)))
+        for _ in range(20):
+            there, g_there = loss(w + step * direction)
+            if there <= value + 1e-4 * step * slope:
+                break
+            step /= 2
+        else:
+            break
+        s, d = step * direction, g_there - g
+        if float(s @ d) > 1e-12:
+            pairs = [*pairs[1 - memory :], (s, d)] if len(pairs) >= memory else [*pairs, (s, d)]
+        w, gain, value, g = w + s, value - there, there, g_there
+        if gain < 1e-6 * abs(value):
+            break
+    return w
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, prior: float) -> Model:
@@ -110,9 +162,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, prior: float) -> Model:
     seen = np.zeros((2, 1 << BITS))
     for x, label in zip(rows, labels, strict=True):
         seen[label][x] += 1
-    kept, ratio = choose(seen)
-    place = places_of(kept)
-    return regress([c[c >= 0] for c in (place[x] for x in rows)], labels, kept, ratio, prior)
+    return regress(rows, labels, ratios(seen), prior)
 
 
 def margin(model: Model, text: str | None, mark: np.ndarray) -> float:
@@ -131,36 +181,22 @@ def train(docs: DataFrame, labels: DataFrame, in_training: Column, label: str =
         part = known.where(F.col("_y") == y).orderBy(F.xxhash64(F.col(doc_id).cast("string")), doc_id).limit(per_class)
         drawn = part if drawn is None else drawn.unionByName(part)
 
-    # the sample has 2 * per_class rows at most, so its ids may be broadcast; it's written once and read twice
+    # the sample has 2 * per_class rows at most, so its ids may be broadcast; it's written to be read by name
     texts = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).where("_doc is not null")
     sample = texts.join(F.broadcast(drawn.withColumnRenamed(doc_id, "_doc")), "_doc").select(F.col("_doc").cast("string").alias("_id"), "_y", "_text")
     sample = store.materialise(sample.dropDuplicates(["_id"]), "labelled")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark, seen = np.zeros(1 << BITS, np.uint8), np.zeros((2, 1 << BITS), np.int64)
-        for batch in batches:
-            for y, x in zip(batch.column("_y").to_pylist(), batch.column("_text").to_pylist(), strict=True):
-                seen[y][buckets(x, mark)] += 1
-        held = np.flatnonzero(seen.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(seen[0][held]), pa.array(seen[1][held])], ["bucket", "n0", "n1"])
-
-    # 2**BITS rows at most reach the driver
-    counted = sample.mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
-    seen = np.zeros((2, 1 << BITS))
-    for y in (0, 1):
-        seen[y][counted.column("bucket").to_numpy()] = counted.column(f"n{y}").to_numpy()
-    kept, ratio = choose(seen)
-    sent = spark.sparkContext.broadcast(places_of(kept))
-
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark, place = np.zeros(1 << BITS, np.uint8), sent.value
+        mark = np.zeros(1 << BITS, np.uint8)
         for batch in batches:
-            cols = [place[buckets(x, mark)] for x in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_y"), pa.array([c[c >= 0].astype(np.uint16).tobytes() for c in cols], pa.binary())], ["_id", "_y", "_cols"])
-
-    found = sample.mapInArrow(lay_out, "_id string, _y int, _cols binary").toArrow().sort_by("_id")
-    cols = [np.frombuffer(x.as_buffer(), np.uint16) for x in found.column("_cols")]
-    return regress(cols, found.column("_y").to_numpy().astype(np.int64), kept, ratio, shares.get(1, 0) / total if total else 0.0)
+            found = [steps_between(buckets(x, mark)) for x in batch.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_y"), pa.array(found, pa.binary())], ["_id", "_y", "_steps"])
+
+    # 2 * per_class rows of distinct buckets, two bytes each, reach the driver
+    found = sample.mapInArrow(lay_out, "_id string, _y int, _steps binary").toArrow().sort_by("_id")
+    store.remove(spark, sample)
+    cols = [from_steps(x.as_buffer()) for x in found.column("_steps")]
+    return fit(cols, found.column("_y").to_numpy().astype(np.int64), shares.get(1, 0) / total if total else 0.0)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
