@@ -18,19 +18,21 @@ TOXIC_FROM = 0.3
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is within their language's threshold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    # a document travels as one struct, so that its columns' names can't clash with a stage's;
     # decisions go by id and text, so that rows sharing an id, or without one, are told apart
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
-    judged = quality.classify(keyed, labels, keep=["doc_id", "__key"])
-    rejected = judged.where(~F.col("accepted")).select(F.col("doc_id").alias("__rejected"), F.col("__key").alias("__rejected_key")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__rejected")) & (F.col("__key") == F.col("__rejected_key"))
-    return keyed.join(rejected, same, "left_anti").select(docs.columns)
+    key = F.xxhash64("doc_id", "text")
+    held = docs.select(F.struct(*docs.columns).alias("doc"), key.alias("key"))
+    judged = quality.classify(docs.select("doc_id", "lang", "text", key.alias("key")), labels, keep=["key"])
+    rejected = judged.where(~F.col("accepted")).select("key").distinct()
+    return held.join(rejected, "key", "left_anti").select("doc.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below TOXIC_FROM; labels of all ids in docs may train."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.train(docs, labels, F.lit(True))
-    return toxicity.score(docs, model, out="__toxic").where(F.col("__toxic") < TOXIC_FROM).select(docs.columns)
+    model = toxicity.train(docs.select("doc_id", "text"), labels, F.lit(True))
+    held = docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    return toxicity.score(held, model).where(F.col("score") < TOXIC_FROM).select("doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
