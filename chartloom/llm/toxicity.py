@@ -19,7 +19,7 @@ is the share of toxic labels (0 without any).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -90,31 +90,29 @@ def ratios(seen: np.ndarray, alpha: float = 0.1) -> np.ndarray:
     return np.log(share[1] / share[0])
 
 
-def regress(cols: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, prior: float, steps: int = 40, ridge: float = 3e-5) -> Model:
+def regress(lots: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ratio: np.ndarray, prior: float, steps: int = 40, ridge: float = 3e-5) -> Model:
     """Logistic regression, by L-BFGS, on the buckets of each row, scaled by their ratios.
 
-    prior: the share of label 1 that scores should assume.
+    lots: of some rows in order, the number of buckets of each and all their buckets.  prior: the share of
+    label 1 that scores should assume.
     """
     prior = min(max(prior, 1e-6), 1 - 1e-6)
     if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(prior / (1 - prior))))
     n, y = len(labels), labels.astype(np.float64)
-    sizes = np.array([len(c) for c in cols])
-    lots, at = [], 0
-    while at < n:  # rows of about ENTRIES features
-        to = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), ENTRIES, side="right")) + at)
-        lots.append((at, to, np.concatenate(cols[at:to])))
-        at = to
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
         scaled, total, g = w[:-1] * ratio, 0.5 * ridge * float(w[:-1] @ w[:-1]), np.zeros(len(w))
-        for a, b, col in lots:
-            row = np.repeat(np.arange(b - a), sizes[a:b])
+        a = 0
+        for sizes, col in lots:
+            b = a + len(sizes)
+            row = np.repeat(np.arange(b - a, dtype=np.int32), sizes)
             z = np.bincount(row, scaled[col], b - a) + w[-1]
             total += float(np.logaddexp(0, np.where(y[a:b] > 0, -z, z)).sum()) / n
             error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[a:b]) / n
             g[:-1] += np.bincount(col, error[row], len(ratio))
             g[-1] += error.sum()
+            a = b
         g[:-1] = g[:-1] * ratio + ridge * w[:-1]
         return total, g
 
@@ -157,12 +155,23 @@ def least_by_lbfgs(loss, w: np.ndarray, steps: int, memory: int = 6) -> np.ndarr
     return w
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, prior: float) -> Model:
-    """Fit on the feature buckets of each row, all in memory."""
-    seen = np.zeros((2, 1 << BITS))
+def fit(rows: Iterable[np.ndarray], labels: np.ndarray, prior: float) -> Model:
+    """Fit on the sorted feature buckets of each row; they are held once, four bytes each."""
+    seen, lots = np.zeros((2, 1 << BITS)), []
+    held: list[np.ndarray] = []
+
+    def close() -> None:
+        lots.append((np.array([len(x) for x in held]), np.concatenate(held)))
+        held.clear()
+
     for x, label in zip(rows, labels, strict=True):
         seen[label][x] += 1
-    return regress(rows, labels, ratios(seen), prior)
+        held.append(x.astype(np.int32))
+        if sum(map(len, held)) >= ENTRIES:
+            close()
+    if held:
+        close()
+    return regress(lots, labels, ratios(seen), prior)
 
 
 def margin(model: Model, text: str | None, mark: np.ndarray) -> float:
@@ -192,11 +201,21 @@ def train(docs: DataFrame, labels: DataFrame, in_training: Column, label: str =
             found = [steps_between(buckets(x, mark)) for x in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_y"), pa.array(found, pa.binary())], ["_id", "_y", "_steps"])
 
-    # 2 * per_class rows of distinct buckets, two bytes each, reach the driver
-    found = sample.mapInArrow(lay_out, "_id string, _y int, _steps binary").toArrow().sort_by("_id")
+    prior = shares.get(1, 0) / total if total else 0.0
+
+    def fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = pa.Table.from_batches(batches).sort_by("_id")
+        model = fit((from_steps(x.as_buffer()) for x in found.column("_steps")), found.column("_y").to_numpy().astype(np.int64), prior)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], ["weights", "bias"])
+        textops.settle()
+
+    if not total:
+        return Model(np.zeros(1 << BITS, np.float32), float(np.log(1e-6 / (1 - 1e-6))))
+    # 2 * per_class rows of distinct buckets, two bytes each, meet in the one task that fits; only weights reach the driver
+    laid = sample.mapInArrow(lay_out, "_id string, _y int, _steps binary").repartition(1)
+    made = laid.mapInArrow(fit_all, "weights binary, bias double").first()
     store.remove(spark, sample)
-    cols = [from_steps(x.as_buffer()) for x in found.column("_steps")]
-    return fit(cols, found.column("_y").to_numpy().astype(np.int64), shares.get(1, 0) / total if total else 0.0)
+    return Model(np.frombuffer(made["weights"], np.float32), made["bias"]) if made else Model(np.zeros(1 << BITS, np.float32), float(np.log(1e-6 / (1 - 1e-6))))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
