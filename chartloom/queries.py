@@ -50,7 +50,7 @@ def regex_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .functions.patterns import compile_pattern, find_matches
 
     patterns = [compile_pattern(spark, f["regex_patterns"][0]) for f in FEATURES]
-    return find_matches(_notes(spark, sf_dir), patterns, "markdown_text").select("doc_id", "pattern_no", "match_no", "match_start", "matched_text")
+    return find_matches(_notes(spark, sf_dir), patterns, "markdown_text", ["doc_id"]).select("doc_id", "pattern_no", "match_no", "match_start", "matched_text")
 
 
 def context_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
