@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import prompts
 from ..providers import Answerer, Embedder
-from .retrieval import cosine, top_k
+from .retrieval import search
 
 CHAT_K = 3
 
@@ -21,18 +21,22 @@ def entity_ids(extracted: DataFrame, order: str | None = None, column: str = "pa
     return numbered.groupBy("patient_id").agg(F.min("pos").alias("pos"))
 
 
-def detect_entity(questions: DataFrame, ids: DataFrame, question: str = "question", most_broadcast: int = 1_000_000) -> DataFrame:
+def detect_entity(questions: DataFrame, ids: DataFrame, question: str = "question", most_broadcast: int = 100_000) -> DataFrame:
     """questions with the first id, by appearance, that their text contains; null without one.
 
-    Containment is kept as it is: p1 is found in p12.  The ids are shipped while there are few; more
-    of them are joined in whatever way the planner finds.
+    Containment is kept as it is: p1 is found in p12.  Ids are broadcast in chunks of most_broadcast.
     """
     known = ids.where("patient_id is not null").select(F.col("patient_id").alias("_id"), "pos")
-    known = F.broadcast(known) if known.limit(most_broadcast + 1).count() <= most_broadcast else known
-    numbered = questions.withColumn("_q", F.monotonically_increasing_id())
-    hits = numbered.join(known, F.contains(F.col(question), F.col("_id")), "left")
-    first = hits.groupBy("_q").agg(F.min(F.when(F.col("_id").isNotNull(), F.struct("pos", "_id"))).alias("f"), *(F.first(c).alias(c) for c in questions.columns))
-    return first.select(*questions.columns, F.col("f._id").alias("patient_id"))
+    chunks = max(1, -(-known.count() // max(most_broadcast, 1)))
+    first = F.lit(None).cast(known.select(F.struct("pos", "_id").alias("x")).schema["x"].dataType)
+    found = questions.withColumn("_first", first)
+    for i in range(chunks):
+        # a chunk is one row: an array of ids in order; nothing is shuffled, and each question is read in its row
+        part = known if chunks == 1 else known.where(F.pmod(F.xxhash64("_id"), F.lit(chunks)) == i)
+        listed = part.agg(F.sort_array(F.collect_list(F.struct("pos", "_id"))).alias("_ids"))
+        hit = F.get(F.filter("_ids", lambda x: F.contains(F.col(question), x["_id"])), F.lit(0))
+        found = found.crossJoin(F.broadcast(listed)).withColumn("_first", F.least("_first", hit)).drop("_ids")
+    return found.select(*questions.columns, F.col("_first._id").alias("patient_id"))
 
 
 def answer_questions(questions: DataFrame, contexts: DataFrame, embedder: Embedder, answerer: Answerer, k: int = CHAT_K) -> DataFrame:
@@ -42,11 +46,10 @@ def answer_questions(questions: DataFrame, contexts: DataFrame, embedder: Embedd
     without a hit get the fixed sentence, without a call.
     """
     asked = questions.select("question_id", "question", F.nullif(F.col("patient_id"), F.lit("")).alias("asked_id")).withColumn("query_embedding", embedder.column(F.col("question")))
-    one = asked.where("asked_id is not null").join(contexts, F.col("asked_id") == F.col("patient_id"))
+    one = search(contexts.withColumn("asked_id", F.col("patient_id")), asked.where("asked_id is not null").select("question_id", "asked_id", "query_embedding"), ["asked_id"], ["question_id"], k)
     # the questions without a patient are what stands against the whole collection, in blocks of rows
-    every = asked.where("asked_id is null").crossJoin(contexts)
-    scored = one.unionByName(every).withColumn("score", cosine(F.col("embedding"), F.col("query_embedding")))
-    best = top_k(scored.drop("embedding", "query_embedding"), ["question_id"], k)
+    every = search(contexts, asked.where("asked_id is null").select("question_id", "query_embedding"), [], ["question_id"], k)
+    best = one.drop("asked_id").unionByName(every)
     block = prompts.answer_block(F.col("score"), F.col("context"), F.col("patient_id"), F.col("feature_name"), F.col("pdf_source"))
     hits = F.array_sort(F.collect_list(F.struct("rank", "score", "context_id", "context"))).alias("hits")
     joined = best.groupBy("question_id").agg(prompts.joined_blocks(F.col("rank"), block, "\n", "").alias("block"), hits)

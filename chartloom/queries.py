@@ -232,10 +232,10 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark item as a question to the snippets of all documents that name a license."""
+    """Every benchmark item as a question to the snippets of all documents and features."""
     from .providers import SnippetAnswerer
 
-    found = _contexts(spark, sf_dir).where(F.col("feature_name") == "license").withColumn("context_id", F.concat_ws("-", "doc_id", "match_no")).withColumn("pdf_source", F.col("doc_id").cast("string"))
+    found = _contexts(spark, sf_dir).withColumn("context_id", F.concat_ws("-", "doc_id", "feature_name", "match_no")).withColumn("pdf_source", F.col("doc_id").cast("string"))
     embedder = HashingEmbedder(64)
     held = found.select("context_id", "patient_id", "feature_name", "pdf_source", "context").withColumn("embedding", embedder.column(F.col("context")))
     asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), F.lit(None).cast("string").alias("patient_id"))
