@@ -11,7 +11,8 @@ window hashes in a shuffle join.
 Defined results: null and empty texts have no words and no hits; an item without words
 has no window; windows that several items share count for each of them; repeated
 documents are judged each for itself; an item's repeated rows count once; a null item
-id takes no part; an empty benchmark hits nothing.
+id takes no part; an empty benchmark hits nothing; a null doc_id is judged like any other; a text's words are held by
+one row, however many; an empty table gives an empty table; further columns are left alone.
 """
 
 from __future__ import annotations
@@ -61,8 +62,8 @@ def _hashes_of_size(n: int) -> Column:
     return F.transform(_starts(F.col("_words"), n), lambda at: F.struct(F.lit(n).alias("_size"), at.alias("_at"), F.xxhash64(F.slice("_words", at, n)).alias("hash")))
 
 
-def find_hits(docs: DataFrame, items: DataFrame, size: int = SIZE, text: str = "text", item_id: str = "item_id", item_text: str = "text", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """docs with n_words, the hit places _covered (arrays of the first and last word of each window) and _items.
+def find_hits(docs: DataFrame, items: DataFrame, size: int = SIZE, text: str = "text", item_id: str = "item_id", item_text: str = "text", most_broadcast: int = MOST_BROADCAST, carry: list[str] | None = None) -> DataFrame:
+    """docs, or their columns carry, with n_words, the hit places _covered (arrays of the first and last word of each window) and _items.
 
     Both arrays are empty for a document without a hit.  With more than most_broadcast windows docs is
     scanned three times and must be a stored table, whose rows keep their order.
@@ -70,7 +71,7 @@ def find_hits(docs: DataFrame, items: DataFrame, size: int = SIZE, text: str = "
     windows = benchmark_windows(items, size, item_id, item_text)
     found = windows.agg(F.count("*").alias("n"), F.collect_set("size").alias("sizes")).first()
     sizes = sorted(found["sizes"])
-    own = list(docs.columns)
+    own = list(docs.columns) if carry is None else carry
     held = docs.select(F.struct(*own).alias("_doc"), words(F.col(text)).alias("_words")).withColumn("_row", F.monotonically_increasing_id())
     empty = F.array().cast("array<struct<_size:int,_at:int,_window:string>>")
 
@@ -125,7 +126,7 @@ def measure(docs: DataFrame, items: DataFrame, size: int = SIZE, keep: list[str]
     contaminated: a word was hit, and at least one in twenty.
     """
     keep = keep if keep is not None else ["doc_id"]
-    found = find_hits(docs.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), F.col(text).alias("_text")), items, size, "_text", **more)
+    found = find_hits(docs.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), F.col(text).alias("_text")), items, size, "_text", carry=[f"_k{i}" for i in range(len(keep))], **more)
     last = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     # spans come sorted by first word: add what reaches beyond the end so far
     n_hit = F.aggregate("_covered", last, lambda a, s: F.struct(F.greatest(a["end"], s["last"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["last"] - F.greatest(a["end"], s["first"] - 1))).alias("n")), lambda a: a["n"].cast("long"))

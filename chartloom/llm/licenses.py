@@ -7,7 +7,9 @@ does no harm.  DataFrame functions only.
 
 Defined results: null text counts as empty; a text without any word has a digest but matches
 nothing; known texts without any word are left out; where several known licences have one
-digest, the first by name is given; repeated rows give repeated results.
+digest, the first by name is given; repeated rows give repeated results, null ids are passed on; the longest
+texts are read whole; an empty table gives an empty table; columns of docs other than those named
+aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -120,16 +122,43 @@ For more information, please refer to <https://unlicense.org>""",
 }
 
 
+# Canonical digests of whole licence texts too long to be kept here, as published by their stewards.
+DIGESTS = {
+    "Apache-2.0": "dbefe1e8d983a6e05eb701dcd2418087eb4560b5e3b0d48a570a9128fa210a87",
+    "CC0-1.0": "c061862ee4e59062b7f25831a7235fd6bce427b54d6126249f7174d761c5e32a",
+    "GFDL-1.2": "00b8c4cbc16b12ee37f03802255b8b402dda1b97a54f4dbd33268167ec913483",
+    "GFDL-1.3": "4bcfe2d1cd7cb54c79bacbebf67f863d8893e2407a31510e6ba3f5c9b69cab58",
+    "GPL-1.0": "39fad0500e38ada3922854b629c4a496e7aed6a34847cce73e86bb2e42eaf134",
+    "GPL-2.0": "c0347c99dd6844782f634d634b302577a2d4459b115ffd5c05da6ecc4468ac80",
+    "GPL-3.0": "4061ef76d838242ac1a59af673f582cb36e468d30140776ef52776d7c3496255",
+    "LGPL-2.0": "d5f1716f8fc5829130d99cef1cd62ce22b0f8562f80e48857074d1a85987e6d7",
+    "LGPL-2.1": "785ced338abdcc6c1fb8c9bbccad111a6fc78fc05e08c1cc576a95ce9b3b03f9",
+    "LGPL-3.0": "ed297f681f257f15a4fb3a9bcbd4b1b04125dad56f4fdccc0ce673fdbe150870",
+    "MPL-1.1": "20c53a909350ecd96270528c343d833aaf133f7e51386a8606e2abb3478a1adf",
+    "MPL-2.0": "48ba33ef9214fcdc192fe61ffd821bde002a7b2fc69ee83725f7fd8d17fbd7eb",
+}
+
+
+def known_digests(spark: SparkSession) -> DataFrame:
+    """license_id and canonical_sha256 of licences known by their digest alone."""
+    return spark.createDataFrame(list(DIGESTS.items()), "license_id string, canonical_sha256 string")
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
     """license_id and text of the built-in catalogue."""
     return spark.createDataFrame(list(KNOWN.items()), "license_id string, text string")
 
 
-def scan(docs: DataFrame, known: DataFrame, keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """keep (default doc_id) with canonical_chars, canonical_sha256, license_id (null if unknown) and is_license."""
+def scan(docs: DataFrame, known: DataFrame, keep: list[str] | None = None, text: str = "text", digests: DataFrame | None = None) -> DataFrame:
+    """keep (default doc_id) with canonical_chars, canonical_sha256, license_id (null if unknown) and is_license.
+
+    known: license_id and text; digests: license_id and canonical_sha256 of further licences.
+    """
     keep = keep if keep is not None else ["doc_id"]
     digest = lambda c: F.sha2(c.cast("binary"), 256)
-    digests = known.select("license_id", canonical(F.col("text")).alias("_c")).where("_c <> ''").groupBy(digest(F.col("_c")).alias("_sha")).agg(F.min("license_id").alias("license_id"))
+    of_texts = known.select("license_id", canonical(F.col("text")).alias("_c")).where("_c <> ''").select("license_id", digest(F.col("_c")).alias("_sha"))
+    every = of_texts if digests is None else of_texts.union(digests.select("license_id", "canonical_sha256"))
+    digests = every.groupBy("_sha").agg(F.min("license_id").alias("license_id"))
     if digests.count() <= MOST_BROADCAST:
         digests = F.broadcast(digests)
     inner = [f"_keep{i}" for i in range(len(keep))]
@@ -142,8 +171,9 @@ def scan(docs: DataFrame, known: DataFrame, keep: list[str] | None = None, text:
 def scan_sql() -> str:
     """DuckDB SQL for scan() of the table documents with the built-in catalogue."""
     rows = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in pair)) for pair in KNOWN.items())
+    digests = ", ".join(f"('{name}', '{sha}')" for name, sha in DIGESTS.items())
     return f"""
-WITH known AS (SELECT sha256({canonical_sql('text')}) AS sha, min(license_id) AS license_id FROM (VALUES {rows}) AS k(license_id, text) GROUP BY 1),
+WITH known AS (SELECT sha, min(license_id) AS license_id FROM (SELECT license_id, sha256({canonical_sql('text')}) AS sha FROM (VALUES {rows}) AS k(license_id, text) UNION ALL FROM (VALUES {digests}) AS d(license_id, sha)) GROUP BY 1),
 canon AS (SELECT doc_id, {canonical_sql('text')} AS c FROM documents)
 SELECT doc_id, CAST(length(c) AS BIGINT) AS canonical_chars, sha256(c) AS canonical_sha256, license_id, license_id IS NOT NULL AS is_license
 FROM canon LEFT JOIN known ON sha256(c) = sha

@@ -39,7 +39,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical digest and known licence of every whole document."""
-    return licenses.scan(_table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+    return licenses.scan(_table(spark, sf_dir, "documents"), licenses.known_licenses(spark), digests=licenses.known_digests(spark))
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +94,7 @@ WITH RECURSIVE split AS (
 sets AS (
     SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
         ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM split),
-classes AS (SELECT min(doc_id) AS cid, list_sort(s) AS s FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)),
+classes AS (SELECT row_number() OVER (ORDER BY min(doc_id), list_sort(s)) AS cid, min(doc_id) AS least_id, list_sort(s) AS s FROM sets WHERE len(s) > 0 AND doc_id IS NOT NULL GROUP BY list_sort(s)),
 grams AS (SELECT cid, len(s) AS n, unnest(s) AS g FROM classes),
 links AS (
     SELECT a.cid AS u, b.cid AS v FROM grams a JOIN grams b ON a.g = b.g AND a.cid < b.cid
@@ -102,8 +102,8 @@ links AS (
     GROUP BY a.cid, b.cid, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
 both_ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
 reach AS (SELECT cid AS node, cid AS seen FROM classes UNION SELECT reach.node, both_ways.v FROM reach JOIN both_ways ON reach.seen = both_ways.u),
-least AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)
-SELECT sets.doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(least.component, sets.doc_id) AS component_id, sets.doc_id = coalesce(least.component, sets.doc_id) AS kept
+least AS (SELECT node, min(least_id) AS component FROM reach JOIN classes ON seen = cid GROUP BY node)
+SELECT sets.doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, CASE WHEN sets.doc_id IS NOT NULL THEN coalesce(least.component, sets.doc_id) END AS component_id, coalesce(sets.doc_id = coalesce(least.component, sets.doc_id), false) AS kept
 FROM sets LEFT JOIN classes ON list_sort(sets.s) = classes.s LEFT JOIN least ON classes.cid = least.node
 """
 

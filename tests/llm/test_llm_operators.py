@@ -156,6 +156,24 @@ def test_op2(spark, folder, texts, monkeypatch, k, percent, cell):
     assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (len(sets[i]), want[i], want[i] == i) for i in sets}
 
 
+def test_op2_judges_rows_that_share_an_id_by_their_own_text(spark):
+    rng = random.Random(11)
+    a, b = ([f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(2))
+    near = [*a[:-1], "else"]
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (3, " ".join(near)), (9, " ".join(b))]
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 5, True), (9, 5, False)]
+
+
+def test_units_are_bounded_by_bytes_too(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CELL_BYTES", 400)  # a set or two in a cell
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = [(i, " ".join([*base[:-i], *(f"x{i}_{j}" for j in range(i))] if i else base)) for i in range(8)] + [(100, "alone " * 50)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == brute_components({i: shingles(t, 3) for i, t in rows}, 85)
+
+
 def test_op2_null_ids_and_repeats(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (2, "A B C D E F"), (7, "a b c d e f g h i j k l m n o p")], "doc_id long, text string")
     got = [(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs, 3, 85).collect()]
@@ -211,6 +229,18 @@ def test_op4(spark, folder, texts):
     assert queries.QUERIES["op4_licenses"](spark, folder).count() == len(texts)
 
 
+def test_op4_knows_long_licences_by_digest(spark):
+    import os
+
+    place = "/usr/share/common-licenses"
+    if not os.path.isdir(place):
+        pytest.skip("no licence texts here")
+    read = lambda name: open(f"{place}/{name}", encoding="utf-8").read()
+    rows = [(0, read("GPL-3")), (1, read("Apache-2.0").upper()), (2, read("MPL-2.0") + " more")]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known_licenses(spark), digests=licenses.known_digests(spark))
+    assert [r["license_id"] for r in found.orderBy("doc_id").collect()] == ["GPL-3.0", "Apache-2.0", None]
+
+
 @pytest.mark.parametrize("hot", [ngrams.HOT_KEYS, 5])
 def test_op5(spark, folder, texts, hot):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
@@ -437,6 +467,16 @@ def test_op9(spark, folder, texts):
     assert sorted(r["slot"] for r in later) == list(range(n - 40, n))
 
 
+def test_op9_does_not_read_earlier_shards(spark, folder):
+    path = store.new_path(spark, "shards")
+    n = training_order.write_shards(spark.read.parquet(f"{folder}/documents.parquet"), path, length=16, shard_rows=32, rounds=3)
+    shards = -(-n // 32)
+    assert len(training_order.shard_files(spark, path)) == shards
+    later = training_order.read_shards(spark, path, length=16, shard_rows=32, from_slot=n - 40)
+    assert len(later.inputFiles()) == shards - (n - 40) // 32 < shards
+    assert training_order.read_shards(spark, path, length=16, shard_rows=32, from_slot=10 * n).collect() == []
+
+
 def test_feistel_is_a_permutation():
     for n in (1, 2, 3, 5, 64, 1000, 4097):
         assert sorted(training_order.Feistel(n, 7).slots(np.arange(n)).tolist()) == list(range(n))
@@ -470,24 +510,57 @@ def test_bit_arrays_agree(spark):
     assert blooms.contains(bits, mine, width).all() and blooms.contains(bits, other, width).mean() < 0.05
 
 
-def test_pipeline(spark, folder, texts):
+CLASHES = ["__key", "__toxic", "__text", "_text", "_bytes", "_id", "_row", "key", "doc", "score", "n_tokens", "_t", "_d", "set", "root"]
+
+
+def test_pipeline(spark, folder, texts, tmp_path):
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    now, counts = docs, []
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    # further columns whose names a stage may use itself come back as they were
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars", *(F.concat(F.lit(c), "doc_id").alias(c) for c in CLASHES))
+    labels = {r["doc_id"] for r in spark.read.parquet(f"{folder}/labels.parquet").where("quality = 1").collect()}
+    now, left = docs, dict(enumerate(texts))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = left
         now = store.materialise(stage(spark, now, folder), "stage")
         assert now.columns == docs.columns
-        counts.append(now.count())
-    assert counts == sorted(counts, reverse=True) and counts[-1] > 0
-    left = {r["doc_id"]: r["text"] for r in now.collect()}
-    assert len(left) == counts[-1]
-    sets = {i: shingles(t, 5) for i, t in left.items()}
-    assert all(i == c for i, c in brute_components(sets, 80).items()) or counts[-1] < counts[-2]
+        rows = now.collect()
+        left = {r["doc_id"]: r["text"] for r in rows}
+        assert len(left) == len(rows) > 0 and set(left) <= set(before)
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in CLASHES)
+        if name == "quality classifier":
+            assert left.items() <= before.items() and len(set(before) & labels - set(left)) <= 0.1 * len(labels)
+        elif name == "toxicity":
+            long = [i for i, t in before.items() if len(t or "") > 200]
+            assert sum((i in left) == ("moon" not in before[i]) for i in long) >= 0.8 * len(long)
+        elif name == "minhash near-dedup":
+            want = brute_components({i: shingles(t, 5) for i, t in before.items()}, 80)
+            assert left == {i: t for i, t in before.items() if want[i] == i}
     out = {r["doc_id"]: r for r in corpus_pipeline.STAGES[-1][1](spark, now, folder).collect()}
     assert {i: r["decoded_sha256"] for i, r in out.items()} == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in left.items()}
 
 
+def test_pipeline_of_no_documents(spark, empty):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, empty).collect() == []
+
+
+LONG = ("word " * 400_000) + "\x1f" + "x" * 300_000
+
+
+@pytest.mark.parametrize("name", ["op1_toxicity", "op2_minhash", "op3_token_counts", "op4_licenses", "op5_lm_scoring", "op6_quality", "op7_decontamination", "op9_training_order", "op10_byte_bpe"])
+def test_null_ids_and_very_long_texts(spark, tmp_path, name):
+    where = str(tmp_path)
+    rows = [(None, "Some words here", None, "s", 1), (None, None, None, "s", 1), (1, LONG, "en", "s", 1), (2, "Some other words", "en", "s", 1)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{where}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+    spark.createDataFrame([(1, "some words")], "item_id long, text string").write.parquet(f"{where}/benchmark.parquet")
+    got = queries.QUERIES[name](spark, where).collect()
+    ids = [r["doc_id"] for r in got]
+    assert ids.count(None) == 2 and set(ids) == {None, 1, 2} and (len(ids) == 4 or name == "op9_training_order")
+
+
 def test_entry_lists_all():
     names = set(entry.queries())
     assert {n for n in queries.QUERIES} | {"pipeline"} <= names and set(entry.oracle_sql()) <= names
