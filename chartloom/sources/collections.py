@@ -15,7 +15,7 @@ def open_collection(spark: SparkSession, name: str, reset: bool = False) -> Data
     if reset:
         spark.sql(f"DROP TABLE IF EXISTS `{name}`")
     if not spark.catalog.tableExists(name):
-        spark.createDataFrame([], CONTEXTS).write.partitionBy("patient_id").format("parquet").saveAsTable(name)
+        spark.createDataFrame([], CONTEXTS).write.format("parquet").saveAsTable(name)
     return spark.table(name)
 
 

@@ -16,6 +16,6 @@ def note_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_contexts(notes: DataFrame, features: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write the snippets of arriving notes to path, by patient; stops when all that has arrived is done."""
+    """Write the snippets of arriving notes to path; stops when all that has arrived is done."""
     found = extract_contexts(notes.withColumn("reference", F.regexp_replace("pdf_source", r"\.pdf$", "")), features)
-    return found.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("patient_id").trigger(availableNow=True).start()
+    return found.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -115,7 +115,7 @@ def test_csv_keeps_texts_and_ids(spark, tmp_path):
 
 def test_synthetic_notes_and_pdf(spark, tmp_path):
     texts = {r["pdf_source"]: r["markdown_text"] for r in synthetic.synthetic_notes(spark).collect()}
-    assert "01/10/2025" in texts["imaging.pdf"] and "{" not in "".join(texts.values()) and "He came in on 03/08/2025" in texts["summary.pdf"]
+    assert "05/02/2024" in texts["imaging.pdf"] and "{" not in "".join(texts.values()) and "He came in on 06/28/2024" in texts["summary.pdf"]
     folder = synthetic.write_synthetic_notes(spark, str(tmp_path / "p7"))
     assert open(os.path.join(folder, "summary.pdf"), "rb").read().startswith(b"%PDF-1.4")
     files = notes.with_patients(notes.pdf_files(spark, folder), folder)
@@ -148,11 +148,11 @@ def test_whole_extraction_and_chat(spark):
     assert wide.columns == ["patient_id", "size", "ecog", "none"] and wide.count() == 1
     row = wide.first()
     assert row["size"].startswith("PATHOLOGY") and row["ecog"] != "Missing" and row["none"] != ""
-    asked = spark.createDataFrame([(1, "What of 76549821?"), (2, "anything")], "question_id int, question string")
+    asked = spark.createDataFrame([(1, "What of 40217736?"), (2, "anything")], "question_id int, question string")
     answers = {r["question_id"]: r for r in engine.chat(asked, wide).collect()}
-    assert answers[1]["patient_id"] == "76549821" and answers[1]["hits"] and answers[2]["hits"]
+    assert answers[1]["patient_id"] == "40217736" and answers[1]["hits"] and answers[2]["hits"]
     assert "[REDACTED]" in "".join(r["context"] for r in spark.table("contexts_test").collect())
-    asked, said = iter(["", "What of 76549821?", " EXIT "]), []
+    asked, said = iter(["", "What of 40217736?", " EXIT "]), []
     cli.converse(spark, engine, "/no/such/table", True, lambda _: next(asked), said.append)
     assert len(said) > 1 and said[1].startswith("Result 1 (score: ")
 
