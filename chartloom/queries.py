@@ -17,10 +17,10 @@ from .functions import prompts
 from .functions.text import clean_value, name_candidates
 from .operators import cascade, chat, contexts, definitions, matrix, redaction, resolution, retrieval
 from .plans.extraction import Extraction
-from .providers import HashingEmbedder
+from .providers import HashingEmbedder, SnippetAnswerer
 from .sources import sinks
 from .sources.features import features_from_list
-from .sources.synthetic import event_dates, synthetic_notes
+from .sources.synthetic import event_dates
 
 #: Inline feature definitions whose patterns occur in the tables.
 FEATURES = [
@@ -35,9 +35,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _notes(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     # a small file is one task; matching is what costs, so rows are spread first
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("patient_id"), F.col("text").alias("markdown_text"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("patient_id"), F.col("text").alias("markdown_text"), *more)
     return docs if docs.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism else docs.repartition(spark.sparkContext.defaultParallelism)
 
 
@@ -162,6 +162,34 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.wide_rows(matrix.with_clean_values(answers), [f["name"] for f in FEATURES])
 
 
+_CASCADE = [
+    FEATURES[0] | {"reference": "en", "fallback_category_1": "de", "fallback_category_2": "fr"},
+    FEATURES[1] | {"reference": "fr", "fallback_category_1": "", "fallback_category_2": "es", "search_everywhere": True},
+    FEATURES[2] | {"reference": "none", "fallback_category_1": "", "fallback_category_2": ""},
+    FEATURES[3] | {"reference": "none", "fallback_category_1": "", "fallback_category_2": "none", "search_everywhere": True},
+    {"name": "absent", "description": "Nothing has it", "input_prompt": "Which?", "expected_output_type": "string", "expected_range": "any", "reference": "es", "fallback_category_1": "none", "fallback_category_2": "de", "regex_patterns": ["zzqx"]},
+]
+
+
+class LetterEmbedder:
+    """How often each letter from a to z occurs: vectors that SQL can make too."""
+
+    def column(self, text: Column) -> Column:
+        return F.transform(F.sequence(F.lit(97), F.lit(122)), lambda c: (F.length(text) - F.length(F.replace(text, F.char(c), F.lit("")))).cast("float"))
+
+
+def cascade_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cascade with retrieval, prompts and answers: every patient's features from the snippets of all documents."""
+    docs = _notes(spark, sf_dir, F.col("lang").alias("reference"))
+    features = features_from_list(spark, _CASCADE)
+    found = contexts.extract_contexts(docs, features)
+    made = F.concat_ws("-", "doc_id", "feature_pos", "match_no")
+    held = found.withColumn("context_id", made).withColumn("embedding", LetterEmbedder().column(F.col("context")))
+    grid = matrix.result_grid(docs.select("patient_id"), features)
+    asked = cascade.cascade_prompts(grid, held, LetterEmbedder())
+    return matrix.with_clean_values(cascade.answer_cascade(asked, SnippetAnswerer())).select("patient_id", "feature_name", "value")
+
+
 _RAW_VALUES = ["('answer', 'Stage II')", "plain", " padded\t", "('only')", "a('b', 'c')d", "('x', ' y ', 'z')", "", "Missing"]
 
 
@@ -224,7 +252,10 @@ def synthetic_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw notes written as CSV and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    shared = shared or "file://" + tempfile.mkdtemp()
     path = f"{shared}/csv-{uuid.uuid4().hex}"
     if not sinks.save_raw_notes(raw_notes_export(spark, sf_dir), path):
         raise RuntimeError("the notes couldn't be written")
@@ -233,8 +264,6 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chat_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item as a question to the snippets of all documents and features."""
-    from .providers import SnippetAnswerer
-
     found = _contexts(spark, sf_dir).withColumn("context_id", F.concat_ws("-", "doc_id", "feature_name", "match_no")).withColumn("pdf_source", F.col("doc_id").cast("string"))
     embedder = HashingEmbedder(64)
     held = found.select("context_id", "patient_id", "feature_name", "pdf_source", "context").withColumn("embedding", embedder.column(F.col("context")))
@@ -243,19 +272,15 @@ def chat_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extraction_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole extraction over the synthetic notes."""
-    features = [
-        {"name": "tumor_size", "description": "Tumor size", "input_prompt": "How large?", "expected_output_type": "numeric", "expected_range": "0-30", "reference": "pathology", "fallback_category_1": "imaging", "regex_patterns": [r"tumor size[:\s]*[0-9.]+", r"mass of [0-9.]+"]},
-        {"name": "ecog", "description": "ECOG status", "input_prompt": "Which?", "expected_output_type": "numeric", "expected_range": "0-5", "reference": "surgery", "search_everywhere": True, "regex_patterns": [r"ECOG status[:\s]*(.*?)"]},
-        {"name": "allergy", "description": "Allergy", "input_prompt": "Which?", "expected_output_type": "string", "expected_range": "any", "reference": "summary", "regex_patterns": ["allerg"]},
-    ]
-    return Extraction(spark, features, collection=f"contexts_{uuid.uuid4().hex[:12]}").run_notes(synthetic_notes(spark))
+    """The whole extraction, with every document as a note."""
+    engine = Extraction(spark, FEATURES, collection="extraction_wide_contexts")
+    return engine.run_notes(raw_notes_export(spark, sf_dir).drop("reference"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        regex_matches, match_counts, patient_counts, context_windows, redact_notes, raw_notes_export, reference_resolution, topk_by_patient, topk_patient_wide, topk_global, topk_relaxed, prompt_blocks, fallback_cascade, feature_matrix, clean_values,
+        regex_matches, match_counts, patient_counts, context_windows, redact_notes, raw_notes_export, reference_resolution, topk_by_patient, topk_patient_wide, topk_global, topk_relaxed, prompt_blocks, fallback_cascade, cascade_answers, feature_matrix, clean_values,
         detect_entity, feature_numbering, feature_defaults, pattern_synthesis, feature_union, display_names, names_to_avoid, synthetic_dates, csv_round_trip, chat_answers, extraction_wide,
     )
 } | {"name_candidates": name_candidates_query}
@@ -344,6 +369,23 @@ UNION ALL SELECT pos + {len(_BASE)}, name, coalesce(nullif(description, ''), 'De
     CASE WHEN e THEN CASE WHEN two THEN trim(string_split(i, ',')[2]) ELSE coalesce(i, {_RANGE}) END ELSE expected_range END FROM z"""
 
 
+def _cascade_answers_sql() -> str:
+    fields = ["name", "description", "input_prompt", "reference", "fallback_category_1", "fallback_category_2"]
+    everywhere = ", ".join(str(i) for i, f in enumerate(_CASCADE) if f.get("search_everywhere"))
+    letters = lambda t: f"list_transform(range(97, 123), lambda c: CAST(length({t}) - length(replace({t}, chr(CAST(c AS INTEGER)), '')) AS DOUBLE))"
+    # of equal scores the smaller id wins; scores are rounded, since sums of doubles differ in their last digit
+    best = "arg_min(context, (-round(list_cosine_similarity(v, q), 12), context_id))"
+    return f"""WITH {_matches_sql()}, {_WINDOWS_SQL},
+f AS (SELECT *, {letters("(description || ' ' || input_prompt)")} AS q FROM {_values(_CASCADE, fields)}),
+held AS (SELECT c.source AS patient, c.feature_name, d.lang, c.doc_id || '-' || c.pattern_no || '-' || c.match_no AS context_id, c.context, {letters('c.context')} AS v FROM ctx c JOIN documents d ON c.doc_id = d.doc_id),
+levels AS (SELECT pos, name, q, 0 AS level, reference FROM f UNION ALL SELECT pos, name, q, 1, fallback_category_1 FROM f UNION ALL SELECT pos, name, q, 2, fallback_category_2 FROM f),
+tiers AS (SELECT patient, pos, level, CASE WHEN feature_name = name THEN 0 ELSE 1 END AS tier, {best} AS context FROM levels JOIN held ON lang = reference GROUP BY ALL),
+one AS (SELECT patient, pos, level, arg_min(context, tier) AS context FROM tiers GROUP BY ALL),
+every AS (SELECT patient, pos, 3 AS level, {best} AS context FROM f, held WHERE pos IN ({everywhere}) GROUP BY ALL),
+answers AS (SELECT patient, pos, arg_min(trim(string_split(context, chr(10))[1], ' ' || chr(9) || chr(13)), level) AS value FROM (SELECT * FROM one UNION ALL SELECT * FROM every) GROUP BY ALL)
+SELECT p.source AS patient_id, f.name AS feature_name, coalesce(a.value, 'Missing') AS value FROM (SELECT DISTINCT source FROM documents) p CROSS JOIN f LEFT JOIN answers a ON a.patient = p.source AND a.pos = f.pos"""
+
+
 def _oracle() -> dict[str, str]:
     m = "WITH " + _matches_sql()
     ctx = f"{m}, {_WINDOWS_SQL} "
@@ -373,6 +415,7 @@ def _oracle() -> dict[str, str]:
         "topk_relaxed": _relaxed_sql(),
         "prompt_blocks": f"SELECT query_id, chr(10) || chr(10) || string_agg(printf('Context (similarity score: %.4f):', score) || chr(10) || 'context ' || context_id, chr(10) || chr(10) ORDER BY rank) AS block FROM ({_topk_sql(3, True)}) GROUP BY query_id",
         "fallback_cascade": _cascade_sql(),
+        "cascade_answers": _cascade_answers_sql(),
         "clean_values": f"SELECT CAST(id AS INTEGER) AS id, value_raw, regexp_replace(replace(replace(replace({clean}, '(''', ''), ''', ''', ''), ''')', ''), '^\\s+|\\s+$', '', 'g') AS value FROM (VALUES {', '.join(f'({i}, {_quote(v)})' for i, v in enumerate(_RAW_VALUES))}) AS v(id, value_raw)",
         "detect_entity": f"SELECT conv_id, turn, (SELECT arg_min(id, pos) FROM (VALUES {', '.join(f'({_quote(x)}, {i})' for i, x in enumerate(_IDS))}) AS v(id, pos) WHERE contains(text, id)) AS patient_id FROM conversations",
         "feature_numbering": f"WITH {_numbered_sql(True)} SELECT pos, name FROM x",

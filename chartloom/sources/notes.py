@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import markdown_table
-from ..providers import PdfParser
+from ..operators.redaction import redact_notes
+from ..providers import NameFinder, PdfParser
+from ..schemas import CONVERTED
 
 
 def _name(path: Column) -> Column:
@@ -58,7 +60,8 @@ def pdf_to_markdown(files: DataFrame, parser: PdfParser, second: PdfParser | Non
                 errors.append(error), found.append(pages)
             yield pd.DataFrame({"error": errors, "pages": found})
 
-    parsed = files.withColumn("_p", parse("content")).drop("content")
+    # a filter on error would be pushed below and parse every file a second time
+    parsed = files.withColumn("_p", parse.asNondeterministic()("content")).drop("content")
     stem = F.regexp_replace(_name(F.col("path")), r"\.[^.]*$", "")
     tables = lambda page: F.array_join(F.transform(F.filter(F.transform(page["tables"], markdown_table), lambda t: t.isNotNull()), lambda t: F.concat(t, F.lit("\n\n"))), "")
     body = lambda page: F.when(F.coalesce(page["text"], F.lit("")) != "", F.concat(page["text"], F.lit("\n\n"))).otherwise("")
@@ -76,6 +79,27 @@ def not_yet_converted(files: DataFrame, converted: DataFrame) -> DataFrame:
     return files.join(converted.select("path", "modificationTime").distinct(), ["path", "modificationTime"], "left_anti")
 
 
+def converted_notes(files: DataFrame, parser: PdfParser, second: PdfParser | None = None, finder: NameFinder | None = None, table: str | None = None, use_cache: bool = True) -> DataFrame:
+    """The redacted notes of files that could be read: patient_id, pdf_source and markdown_text.
+
+    With a table, notes are appended to it, and those of files whose path and modification time it holds are reused;
+    without use_cache all files are converted again.  Of a file's notes, those of the last run count.
+    """
+    spark = files.sparkSession
+    fields = ["path", "modificationTime", "patient_id", "pdf_source", "markdown_text"]
+    key = fields[:2]
+    if table is None:
+        return redact_notes(readable(pdf_to_markdown(files, parser, second)), finder=finder).select(fields[2:])
+    if not spark.catalog.tableExists(table):
+        spark.createDataFrame([], CONVERTED).write.format("parquet").saveAsTable(table)
+    new = not_yet_converted(files, spark.table(table)) if use_cache else files
+    made = redact_notes(readable(pdf_to_markdown(new, parser, second)), finder=finder)
+    made.select(*fields, F.current_timestamp().alias("converted")).write.mode("append").insertInto(table)
+    kept = spark.table(table)
+    last = kept.groupBy(*key).agg(F.max("converted").alias("converted")).join(files.select(key), key, "left_semi")
+    return kept.join(last, [*key, "converted"], "left_semi").select(fields[2:])
+
+
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """path and markdown_text of every .md file below folder."""
     rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chartloom import cli, config, providers
 from chartloom.operators import cascade, chat, definitions, matrix, resolution, retrieval
+from chartloom.plans.authoring import Authoring
 from chartloom.plans.extraction import Extraction
 from chartloom.sources import features as feature_source
 from chartloom.sources import notes, sinks, synthetic
@@ -188,3 +189,61 @@ def test_environment(monkeypatch, tmp_path):
 def test_default_embedder(spark):
     df = spark.createDataFrame([("a b a",), ("",), (None,)], "t string").select(providers.HashingEmbedder(16).column(F.col("t")).alias("v")).collect()
     assert abs(sum(x * x for x in df[0]["v"]) - 1) < 1e-6 and not any(df[1]["v"]) and len(df[2]["v"]) == 16
+
+
+def test_authoring(spark, tmp_path):
+    class Said:
+        prompts, replies = [], iter(['Here:\n```json\n{"entity_specific_features": [{"name": "EGFR status", "description": "d"}, {"name": "age"}]}\n```', "no json", '{"entity_specific_features": [{"name": "dose_9"}]}'])
+
+        def generate(self, prompt):
+            self.prompts.append(prompt)
+            return next(self.replies)
+
+    base = [{"name": "age_4", **FULL}]
+    made = Authoring(spark, base, Said())
+    first = made.propose("lung cancer", batch_number=1, previously_suggested=["Stage"]).first()
+    assert [f["name"] for f in first["entity_specific_features"]] == ["egfr_status_5", "age_6"] and first["entity_feature_count"] == 2 and first["error"] is None
+    assert first["entity_specific_features"][0]["expected_range"] == "Positive, Negative, Unknown" and "**Egfr Status**" in made.show()
+    assert made.propose("lung cancer", batch_number=2).first()["error"] == "The proposal couldn't be read."
+    assert made.show() == "No features available."
+    assert made.propose("lung cancer", batch_number=3).first()["entity_feature_count"] == 3
+    assert made.propose("lung cancer", batch_number=4).first()["error"].startswith("No features")
+    assert "Suggested already: age, stage" in Said.prompts[0] and "11 to 15" in Said.prompts[2] and "egfr" in Said.prompts[2]
+    assert [r["name"] for r in made.combined().orderBy("pos").collect()] == ["age_4", "egfr_status_5", "age_6", "dose_9"]
+    kept = Authoring(spark, base, type("One", (), {"generate": lambda self, p: '{"entity_specific_features": [{"name": "Age"}, {"name": "x"}]}'})(), filter_known=True)
+    assert [f["name"] for f in kept.propose("e").first()["entity_specific_features"]] == ["x_5"]
+    for i, text in enumerate(['{"entity_specific_features": [{"name": "b"}]}', '{"entity_specific_features": []}']):
+        (tmp_path / str(i)).write_text(text)
+    said = []
+    files = cli.FileGenerator([str(tmp_path / "0"), str(tmp_path / "1")])
+    answers = iter(["yes", "no"])
+    path = cli.author(Authoring(spark, base, files), "Lung Cancer", "", str(tmp_path / "config"), lambda _: next(answers), said.append)
+    assert [f["name"] for f in feature_source.read_config(path)] == ["age_4", "b_5"] and said[1] == "No features available."
+
+
+def test_converted_notes_are_kept(spark, tmp_path):
+    folder = synthetic.write_synthetic_notes(spark, str(tmp_path / "p7"))
+    log = str(tmp_path / "calls")
+
+    class Logged:
+        def pages(self, content):
+            with open(log, "a") as f:
+                f.write(".")
+            return [("Seen by Jane Roe. tumor size: 3", [])]
+
+    class Broken:
+        def pages(self, content):
+            raise ValueError("no")
+
+    engine = Extraction(spark, [{"name": "size", **FULL, "reference": "pathology", "regex_patterns": ["tumor size: [0-9]"]}], collection="contexts_kept", parser=Broken(), second_parser=Logged(), notes_table="notes_kept")
+    engine.clear_notes()
+    n = len(synthetic.NOTES)
+    wide = engine.run_folder(folder)
+    assert wide.count() == 1 and wide.first()["size"] == "# pathology" and len(open(log).read()) == n
+    assert "tumor size: 3" in spark.table("contexts_kept").first()["context"]
+    assert {r["markdown_text"].count("Roe") for r in spark.table("notes_kept").collect()} == {0}
+    assert engine.run_folder(folder).count() == 1 and len(open(log).read()) == n
+    assert engine.run_folder(folder, use_cache=False).count() == 1 and len(open(log).read()) == 2 * n
+    assert spark.table("notes_kept").count() == 2 * n and spark.table("contexts_kept").count() == 1
+    engine.clear_notes()
+    assert not spark.catalog.tableExists("notes_kept")
