@@ -7,12 +7,13 @@ sample of pivots, and what one pivot draws is split into shards of bounded size.
 shard is an M-tree of pages: routing entries with covering radius and distance to
 the parent, and leaves with each object's distance to the parent.  Stored distances
 rule entries out by the triangle inequality before any distance is computed.  A query visits
-only shards that can hold a score as good as the k-th best among the pivots themselves.
+the shards of its own pivot first, and then those that can hold a score as good as the k-th best found there.
 
 Defined results: vectors that are null, empty or hold a null or non-finite component, and rows
-with a null id, take no part; vectors of different lengths never meet; rows that repeat
-id and vector count once; a query's own id is no candidate; ties go to the smaller id; fewer candidates than k
-give fewer rows; an empty table gives an empty table.
+with a null id, take no part; vectors of different lengths never meet; candidates are rows,
+so those that repeat an id or a vector all count; a query's own id is no candidate; queries that share an id
+are answered together; ties go to the smaller id; fewer candidates than k
+give fewer rows; other columns are left out, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -140,17 +141,19 @@ def integer_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, dims, norms, out = [], [], [], []
-            for i, x in zip(batch.column("_id").to_pylist(), batch.column("_v").to_pylist(), strict=True):
-                if i is None or not x or any(c is None for c in x):
-                    continue
-                v = np.array(x, dtype=np.float64)
-                if np.isfinite(v).all():
-                    v = np.floor(scale * v).astype(np.int64)
-                    ids.append(i), dims.append(len(v)), norms.append(float((v * v).sum())), out.append(v.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(norms, pa.float64()), pa.array(out, pa.binary())], ["vec_id", "dim", "norm", "v"])
+            held = batch.column("_v")
+            ends = np.asarray(held.offsets)
+            starts, sizes = ends[:-1], np.diff(ends)
+            values = held.values.to_numpy(zero_copy_only=False)  # null components become NaN
+            unsound = np.concatenate([[0], np.cumsum(~np.isfinite(values))])
+            sound = (unsound[ends[1:]] == unsound[starts]) & (sizes > 0) & np.asarray(held.is_valid()) & np.asarray(batch.column("_id").is_valid())
+            for d in np.unique(sizes[sound]).tolist():
+                rows = np.flatnonzero(sound & (sizes == d))
+                x = np.floor(scale * values[starts[rows][:, None] + np.arange(d)]).astype(np.int64)
+                packed = pa.Array.from_buffers(pa.binary(8 * d), len(rows), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(rows)), pa.array(np.full(len(rows), d, np.int32)), pa.array((x * x).sum(axis=1).astype(np.float64)), packed], ["vec_id", "dim", "norm", "v"])
 
-    return vectors.select(F.col(vec_id).cast("long").alias("_id"), F.col(embedding).alias("_v")).mapInArrow(run, "vec_id long, dim int, norm double, v binary").dropDuplicates(["vec_id", "v"])
+    return vectors.select(F.col(vec_id).cast("long").alias("_id"), F.col(embedding).cast("array<double>").alias("_v")).mapInArrow(run, "vec_id long, dim int, norm double, v binary")
 
 
 def _lift(v: np.ndarray, most: float) -> np.ndarray:
@@ -158,10 +161,17 @@ def _lift(v: np.ndarray, most: float) -> np.ndarray:
     return np.column_stack([x, np.sqrt(np.maximum(most - (x * x).sum(axis=1), 0.0))])
 
 
-def top_products(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", shard: int = SHARD, most_pivots: int = MOST_PIVOTS, query_block: int = QUERY_BLOCK) -> DataFrame:
+def _reach(most: float, query: np.ndarray, least: float) -> float:
+    """The distance beyond which no score is as good as least, and the slack for rounding."""
+    reach = math.sqrt(max(most + float(query @ query) - 2 * least, 0.0)) if least > -math.inf else math.inf
+    return reach + SLACK * (1 + min(reach, 1e12))
+
+
+def top_products(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", shard: int = SHARD, most_pivots: int = MOST_PIVOTS, query_block: int = QUERY_BLOCK, costs: bool = False) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k largest integer inner products.
 
-    is_query: over a column vec_id, the rows that are queries.
+    is_query: over a column vec_id, the rows that are queries.  With costs: query_id, shards (visited) and
+    distances (computed in them) instead.
     """
     spark = vectors.sparkSession
     store.ship(spark)
@@ -172,19 +182,22 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str
     sample: dict[int, list[tuple[bytes, int]]] = {}
     for r in rows.select("dim", "vec_id", "v", F.row_number().over(per_dim).alias("i")).where(F.col("i") <= most_pivots).collect():
         sample.setdefault(r["dim"], []).append((bytes(r["v"]), r["vec_id"]))
-    pivots = {d: np.unique(np.array([np.frombuffer(v, np.int64) for v, _ in x]), axis=0) for d, x in sample.items()}
     known = {d: (np.array([np.frombuffer(v, np.int64) for v, _ in x]), np.array([i for _, i in x])) for d, x in sample.items()}
+    pivots = {d: _lift(np.unique(x, axis=0), facts[d][0]) for d, (x, _) in known.items()}
     sent = spark.sparkContext.broadcast((pivots, known, facts))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots, _, facts = sent.value
         for batch in batches:
-            near, far = [], []
-            for d, v in zip(batch.column("dim").to_pylist(), batch.column("v").to_pylist(), strict=True):
-                p, x = _lift(pivots[d], facts[d][0]), _lift(np.frombuffer(v, np.int64)[None], facts[d][0])
-                distance = np.sqrt(((p - x) ** 2).sum(axis=1))
-                near.append(int(distance.argmin())), far.append(float(distance.min()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.int32()), pa.array(far, pa.float64())], [*batch.schema.names, "pivot", "far"])
+            dims = np.asarray(batch.column("dim"))
+            near, far = np.zeros(len(dims), np.int32), np.zeros(len(dims))
+            for d in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == d)
+                for some in np.array_split(at, math.ceil(len(at) / 256)):  # differences, since a radius must not be rounded down
+                    x = np.frombuffer(b"".join(batch.column("v").take(pa.array(some)).to_pylist()), np.int64).reshape(-1, d)
+                    distance = np.sqrt(((_lift(x, facts[d][0])[:, None] - pivots[d]) ** 2).sum(axis=2))
+                    near[some], far[some] = distance.argmin(axis=1), distance.min(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near), pa.array(far)], [*batch.schema.names, "pivot", "far"])
 
     dealt = store.materialise(rows.mapInArrow(assign, "vec_id long, dim int, norm double, v binary, pivot int, far double"), "dealt")
     held: dict[int, dict[int, tuple[int, float]]] = {}
@@ -192,22 +205,29 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str
         held.setdefault(r["dim"], {})[r["pivot"]] = (math.ceil(r["n"] / shard), r["r"])
     sent_held = spark.sparkContext.broadcast(held)  # a pair for each pivot
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, known, facts = sent.value
-        for batch in batches:
-            out = []
-            for i, d, v in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "dim", "v")), strict=True):
-                q, most = np.frombuffer(v, np.int64), facts[d][0]
-                scores = known[d][0][known[d][1] != i] @ q
-                least = float(np.sort(scores)[-k]) if len(scores) >= k else -math.inf
-                lifted = np.append(q.astype(np.float64), 0.0)
-                distance = np.sqrt(((_lift(pivots[d], most) - lifted) ** 2).sum(axis=1))
-                reach = math.sqrt(max(most + float(q @ q) - 2 * least, 0.0)) if least > -math.inf else math.inf
-                for p, (salts, radius) in sent_held.value[d].items():
-                    if distance[p] - radius <= reach + SLACK * (1 + min(reach, 1e12)):
-                        out += [(i, d, v, p, s, least) for s in range(salts)]
-            columns = zip(*out, strict=True) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.float64()), strict=True)], ["query_id", "dim", "v", "pivot", "salt", "least"])
+    def route(home: bool):
+        """Ways of queries (query_id, dim, v, pivot, least) to shards: those of their own pivot, or then the others."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pivots, known, facts = sent.value
+            for batch in batches:
+                out = []
+                for i, d, v, own, least in zip(*batch.columns, strict=True):
+                    i, d, own, least = i.as_py(), d.as_py(), own.as_py(), least.as_py()
+                    q, by_pivot = np.frombuffer(v.as_py(), np.int64), sent_held.value[d]
+                    if home:
+                        scores = known[d][0][known[d][1] != i] @ q
+                        least = float(np.sort(scores)[-k]) if len(scores) >= k else -math.inf
+                        chosen = [own]
+                    else:
+                        distance = np.sqrt(((pivots[d] - np.append(q.astype(np.float64), 0.0)) ** 2).sum(axis=1))
+                        reach = _reach(facts[d][0], q, least)
+                        chosen = [p for p, (_, radius) in by_pivot.items() if p != own and distance[p] - radius <= reach]
+                    out += [(i, d, q.tobytes(), p, s, least) for p in chosen for s in range(by_pivot[p][0])]
+                columns = zip(*out, strict=True) if out else [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.float64()), strict=True)], ["query_id", "dim", "v", "pivot", "salt", "least"])
+
+        return run
 
     salts = F.lit(1)
     for d, by_pivot in held.items():
@@ -216,9 +236,7 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str
                 salts = F.when((F.col("dim") == d) & (F.col("pivot") == p), F.lit(n)).otherwise(salts)
     blocks = max(1, math.ceil(max([q or 0 for _, q in facts.values()], default=0) / query_block))
     keys = ["dim", "pivot", "salt", "block"]
-    queries = dealt.where(is_query).select("vec_id", "dim", "v").mapInArrow(route, "query_id long, dim int, v binary, pivot int, salt int, least double")
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    shards = dealt.withColumn("salt", F.pmod(F.xxhash64("vec_id"), salts).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    shards = dealt.select("vec_id", "dim", "v", "pivot", F.pmod(F.xxhash64("vec_id", "v"), salts).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def search(shard_rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -228,12 +246,23 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str
             tree = MTree.for_products(v, sent.value[2][int(shard_rows["dim"].iloc[0])][0])
             for i, x, least in zip(asked["query_id"], asked["v"], asked["least"], strict=True):
                 q = np.frombuffer(x, np.int64)
+                before = tree.computed
                 found = tree.search(np.append(q.astype(np.float64), 0.0), k, ids, lambda at, q=q: v[at] @ q, i, least)
-                out += [(i, j, s) for s, j in found]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
+                out += [(i, j, s, -1) for s, j in found] + [(i, 0, 0, tree.computed - before)]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "computed"], dtype="int64")
+
+    def answers(queries: DataFrame, home: bool) -> DataFrame:
+        """What shards find, and a row for each visit with what it computed."""
+        routed = queries.mapInArrow(route(home), "query_id long, dim int, v binary, pivot int, salt int, least double")
+        routed = routed.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        return shards.groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score long, computed long")
 
-    found = shards.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    # an id with several vectors stands for its best
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = lambda found: found.where("computed < 0").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    queries = dealt.where(is_query).select(F.col("vec_id").alias("query_id"), "dim", "v", "pivot")
+    first = store.materialise(answers(queries.withColumn("least", F.lit(0.0)), True), "first")
+    # the k-th score at home bounds what the other shards must hold
+    kth = ranked(first).where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("least"))
+    bounded = queries.join(kth, "query_id", "left").select("query_id", "dim", "v", "pivot", F.coalesce("least", F.lit(-math.inf)).alias("least"))
+    found = first.unionByName(answers(bounded, False))
+    return found.where("computed >= 0").groupBy("query_id").agg(F.count("*").alias("shards"), F.sum("computed").alias("distances")) if costs else ranked(found)

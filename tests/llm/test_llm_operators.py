@@ -422,19 +422,35 @@ def test_op7_takes_spans_out(spark):
 
 
 def test_op8(spark, folder):
-    rows = {(r["vec_id"], tuple(r["embedding"])) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect() if r["vec_id"] is not None and r["embedding"] and None not in r["embedding"]}
+    rows = [(r["vec_id"], tuple(r["embedding"])) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect() if r["vec_id"] is not None and r["embedding"] and None not in r["embedding"]]
     rows = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if all(map(math.isfinite, v))]
     want = []
-    for i, q in rows:
-        if i % 100 == 0:
-            best = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in rows if j != i and len(v) == len(q))[:10]
-            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    for i in {i for i, _ in rows if i % 100 == 0}:
+        best = sorted((-sum(a * b for a, b in zip(q, v)), j) for own, q in rows if own == i for j, v in rows if j != i and len(v) == len(q))[:10]
+        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
     vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
     for more in ({}, {"shard": 16, "most_pivots": 4, "query_block": 2}):
         got = mtree.top_products(vectors, F.col("vec_id") % 100 == 0, 10, **more)
         assert sorted(tuple(r) for r in got.collect()) == sorted(want)
 
 
+def test_op8_counts_rows_that_repeat(spark):
+    rows = [(0, [1.0, 0.0])] + [(1, [2.0, 0.0])] * 3 + [(2, [3.0, 0.0]), (2, [1.0, 1.0]), (3, [0.5, 0.0]), (None, [9.0, 0.0]), (4, [9.0]), (5, [float("nan"), 1.0]), (6, [])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = mtree.top_products(vectors, F.col("vec_id") % 100 == 0, 4, shard=2, most_pivots=2)
+    assert sorted(tuple(r) for r in got.collect()) == [(0, 1, 2, 3 << 20), (0, 2, 1, 2 << 20), (0, 3, 1, 2 << 20), (0, 4, 1, 2 << 20)]
+
+
+def test_op8_leaves_far_shards_alone(spark):
+    rng = np.random.default_rng(0)
+    centres = rng.normal(0, 1, (20, 16))
+    v = np.concatenate([c / np.linalg.norm(c) + rng.normal(0, 0.002, (50, 16)) for c in centres])
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v / np.linalg.norm(v, axis=1)[:, None])], "vec_id long, embedding array<double>")
+    cost = mtree.top_products(vectors, F.col("vec_id") % 20 == 0, 5, costs=True).collect()
+    assert len(cost) == 50 and sum(r["distances"] for r in cost) < 0.3 * 50 * len(v)
+    assert sum(r["shards"] for r in cost) < 0.5 * 50 * mtree.MOST_PIVOTS
+
+
 def test_mtree_avoids_distances():
     rng = np.random.default_rng(0)
     centres = rng.normal(0, 3000, (20, 6))
