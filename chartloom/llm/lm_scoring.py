@@ -46,8 +46,6 @@ SHARD_BITS = 24
 PER_LEVEL, BITS_OF_LEVEL = 10, 3
 #: Parts in which the broadcast filter is built.
 SEGMENTS = 64
-#: Tasks that the shards are dealt to; a task reads one shard after another.
-MOST_TASKS = 20_000
 #: Rows that a task packs together.
 PACK = 400_000
 _SHARD = U64(0xFFFFF)
@@ -195,7 +193,7 @@ def _shard_terms(asked: DataFrame, rest: DataFrame, shards: int, p_word: Callabl
 
     nothing = F.lit(None).cast("binary")
     counts = rest.select(F.col("group").alias("shard"), F.lit(-1).cast("long").alias("_row"), nothing.alias("at"), "key", "level", nothing.alias("word"))
-    both = counts.unionByName(asked).repartition(min(shards, MOST_TASKS), "shard")
+    both = counts.unionByName(asked).repartition(min(shards, ngrams.MOST_TASKS), "shard")
     return both.sortWithinPartitions("shard", F.col("_row") >= 0).mapInArrow(run, "_row long, t double")
 
 
@@ -237,7 +235,7 @@ def lm_scores(docs: DataFrame, in_training: Column, text: str = "text", keep: li
         word = s.events(1)
         return [keys_of(word, previous_of(s), sent_common.value[0].find(word) >= 0)]
 
-    pairs = store.materialise(ngrams.count_keys(training, pair_keys, 2, text), "pairs")
+    pairs = store.materialise(ngrams.count_keys_packed(training, pair_keys, 2, text, n_all), "pairs")
     store.release(spark)
     both = words.unionByName(pairs)
     common = ngrams.commonest(both, (1 << most_bits) // PER_LEVEL, lambda n: n.bit_length())

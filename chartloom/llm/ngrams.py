@@ -108,6 +108,60 @@ def count_keys(docs: DataFrame, columns: Callable[[Stream], list[np.ndarray]], o
     return docs.select(F.col(text).alias("_text")).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+#: n-grams that a group of keys has about, and rows that are summed at once; bounds on a task's memory.
+GROUP, SUM_AT = 1 << 20, 1 << 22
+#: Tasks that groups are dealt to; a task takes one group after another.
+MOST_TASKS = 20_000
+
+
+def count_keys_packed(docs: DataFrame, columns: Callable[[Stream], list[np.ndarray]], order: int, text: str, n_grams: int) -> DataFrame:
+    """As count_keys, for about n_grams n-grams of which most are rare.
+
+    Each lot's keys, sorted as they are, travel as bytes, cut by group, and are summed group by group: no row for each key.
+    """
+    groups = max(1, n_grams // GROUP)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lot in combined(batches, "_text", order, columns, ["key"]):
+            keys, n = lot.column("key").to_numpy().view(np.uint64), lot.column("n").to_numpy().astype(np.uint32)
+            group = (((keys >> U64(32)) * U64(groups)) >> U64(32)).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(group, prepend=-1))
+            ends = [*cuts[1:].tolist(), len(group)]
+            cut = lambda x: pa.array([x[a:z].tobytes() for a, z in zip(cuts.tolist(), ends, strict=True)], pa.binary())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(group[cuts].astype(np.int32)), cut(keys), cut(n)], ["group", "key", "n"])
+
+    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        by = np.argsort(keys)
+        keys, n = keys[by], n[by]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return keys[first], np.add.reduceat(n, first)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, held = -1, [], 0
+
+        def give() -> pa.RecordBatch:
+            keys, n = summed(parts)
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
+
+        for batch in batches:
+            for group, key, n in zip(*(batch.column(c) for c in ("group", "key", "n")), strict=True):
+                if group.as_py() != now:
+                    if parts:
+                        yield give()
+                    now, parts, held = group.as_py(), [], 0
+                parts.append((np.frombuffer(key.as_py(), np.uint64), np.frombuffer(n.as_py(), np.uint32).astype(np.int64)))
+                held += len(parts[-1][0])
+                if held > SUM_AT:
+                    parts, held = [summed(parts)], 0
+        if parts:
+            yield give()
+        textops.settle()
+
+    packed = docs.select(F.col(text).alias("_text")).mapInArrow(pack, "group int, key binary, n binary")
+    return packed.repartition(min(groups, MOST_TASKS), "group").sortWithinPartitions("group").mapInArrow(merge, "key long, n long")
+
+
 #: Steps in which a class of equally common keys is taken in part.
 SHARE = 1 << 20
 

@@ -280,6 +280,16 @@ def test_op5_counts_pairs_of_all_words_and_those_seen_once(spark):
         assert abs(got[i] - want) < 0.01 * abs(want), (i, got[i], want)
 
 
+def test_packed_counts_are_the_plain_ones(spark, folder, monkeypatch):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").repartition(5)
+    keys = lambda s: [s.events(2)]
+    want = sorted(tuple(r) for r in ngrams.count_keys(docs, keys, 2).collect())
+    for n, sum_at in ((0, ngrams.SUM_AT), (7 * ngrams.GROUP, 10)):
+        monkeypatch.setattr(ngrams, "SUM_AT", sum_at)
+        assert sorted(tuple(r) for r in ngrams.count_keys_packed(docs, keys, 2, "text", n).collect()) == want
+    assert ngrams.count_keys_packed(docs.limit(0), keys, 2, "text", 0).count() == 0
+
+
 def test_count_filter_reads_levels_back():
     keys = textops.mix(np.arange(1, 2001, dtype=np.uint64))
     n = np.array([1 + i % 300 for i in range(2000)])
