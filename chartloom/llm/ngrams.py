@@ -110,6 +110,8 @@ def count_keys(docs: DataFrame, columns: Callable[[Stream], list[np.ndarray]], o
 
 #: n-grams that a group of keys has about, and rows that are summed at once; bounds on a task's memory.
 GROUP, SUM_AT = 1 << 20, 1 << 22
+#: Keys in a cell of bytes, and cells in a batch: large ones cost the JVM's heap more than they hold.
+CELL, CELLS = 1 << 13, 32
 #: Tasks that groups are dealt to; a task takes one group after another.
 MOST_TASKS = 20_000
 
@@ -125,10 +127,12 @@ def count_keys_packed(docs: DataFrame, columns: Callable[[Stream], list[np.ndarr
         for lot in combined(batches, "_text", order, columns, ["key"]):
             keys, n = lot.column("key").to_numpy().view(np.uint64), lot.column("n").to_numpy().astype(np.uint32)
             group = (((keys >> U64(32)) * U64(groups)) >> U64(32)).astype(np.int64)
-            cuts = np.flatnonzero(np.diff(group, prepend=-1))
-            ends = [*cuts[1:].tolist(), len(group)]
-            cut = lambda x: pa.array([x[a:z].tobytes() for a, z in zip(cuts.tolist(), ends, strict=True)], pa.binary())  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([pa.array(group[cuts].astype(np.int32)), cut(keys), cut(n)], ["group", "key", "n"])
+            cuts = np.union1d(np.flatnonzero(np.diff(group, prepend=-1)), np.arange(0, len(group), CELL))
+            ends = np.append(cuts[1:], len(group))
+            for at in range(0, len(cuts), CELLS):
+                ranges = list(zip(cuts[at : at + CELLS].tolist(), ends[at : at + CELLS].tolist(), strict=True))
+                cut = lambda x: pa.array([x[a:z].tobytes() for a, z in ranges], pa.binary())  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(group[cuts[at : at + CELLS]].astype(np.int32)), cut(keys), cut(n)], ["group", "key", "n"])
 
     def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -140,22 +144,25 @@ def count_keys_packed(docs: DataFrame, columns: Callable[[Stream], list[np.ndarr
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts, held = -1, [], 0
 
-        def give() -> pa.RecordBatch:
+        def give() -> Iterator[pa.RecordBatch]:
             keys, n = summed(parts)
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
+            parts.clear()
+            for a in range(0, len(keys), CELL * CELLS):
+                z = a + CELL * CELLS
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a:z].view(np.int64)), pa.array(n[a:z])], ["key", "n"])
 
         for batch in batches:
             for group, key, n in zip(*(batch.column(c) for c in ("group", "key", "n")), strict=True):
                 if group.as_py() != now:
                     if parts:
-                        yield give()
+                        yield from give()
                     now, parts, held = group.as_py(), [], 0
                 parts.append((np.frombuffer(key.as_py(), np.uint64), np.frombuffer(n.as_py(), np.uint32).astype(np.int64)))
                 held += len(parts[-1][0])
                 if held > SUM_AT:
                     parts, held = [summed(parts)], 0
         if parts:
-            yield give()
+            yield from give()
         textops.settle()
 
     packed = docs.select(F.col(text).alias("_text")).mapInArrow(pack, "group int, key binary, n binary")
