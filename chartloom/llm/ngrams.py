@@ -81,8 +81,15 @@ def combined(batches: Iterator[pa.RecordBatch], column: str, order: int, columns
 
     def flush() -> pa.RecordBatch:
         all_of = [np.concatenate(x) for x in zip(*lots, strict=True)]
-        keys, first, n = np.unique(all_of[0], return_index=True, return_counts=True)
-        out = [x[first] for x in all_of[1:]] or [keys]
+        lots.clear()
+        if len(all_of) == 1:  # sorted in place
+            keys = all_of.pop()
+            keys.sort()
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            out, n = [keys[first]], np.diff(first, append=len(keys))
+        else:
+            _, first, n = np.unique(all_of[0], return_index=True, return_counts=True)
+            out = [x[first] for x in all_of[1:]]
         return pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in out), pa.array(n.astype(np.int64))], [*names, "n"])
 
     try:
@@ -92,7 +99,7 @@ def combined(batches: Iterator[pa.RecordBatch], column: str, order: int, columns
                 held += len(lots[-1][0])
                 if held >= COMBINE:
                     yield flush()
-                    lots, held = [], 0
+                    held = 0
         if held:
             yield flush()
     finally:
@@ -125,14 +132,14 @@ def count_keys_packed(docs: DataFrame, columns: Callable[[Stream], list[np.ndarr
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lot in combined(batches, "_text", order, columns, ["key"]):
-            keys, n = lot.column("key").to_numpy().view(np.uint64), lot.column("n").to_numpy().astype(np.uint32)
-            group = (((keys >> U64(32)) * U64(groups)) >> U64(32)).astype(np.int64)
-            cuts = np.union1d(np.flatnonzero(np.diff(group, prepend=-1)), np.arange(0, len(group), CELL))
-            ends = np.append(cuts[1:], len(group))
-            for at in range(0, len(cuts), CELLS):
-                ranges = list(zip(cuts[at : at + CELLS].tolist(), ends[at : at + CELLS].tolist(), strict=True))
+            for at in range(0, lot.num_rows, CELL * CELLS):
+                some = lot.slice(at, CELL * CELLS)
+                keys, n = some.column("key").to_numpy().view(np.uint64), some.column("n").to_numpy().astype(np.uint32)
+                group = (((keys >> U64(32)) * U64(groups)) >> U64(32)).astype(np.int64)
+                cuts = np.union1d(np.flatnonzero(np.diff(group, prepend=-1)), np.arange(0, len(group), CELL))
+                ranges = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(group)], strict=True))
                 cut = lambda x: pa.array([x[a:z].tobytes() for a, z in ranges], pa.binary())  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(group[cuts[at : at + CELLS]].astype(np.int32)), cut(keys), cut(n)], ["group", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(group[cuts].astype(np.int32)), cut(keys), cut(n)], ["group", "key", "n"])
 
     def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
