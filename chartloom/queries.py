@@ -141,7 +141,7 @@ def prompt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The joined context blocks of each query."""
     found = topk_by_patient(spark, sf_dir)
     block = prompts.context_block(F.col("score"), F.concat(F.lit("context "), F.col("context_id").cast("string")))
-    return found.groupBy("query_id").agg(prompts.joined_blocks(F.col("rank"), block).alias("block"))
+    return found.groupBy("query_id").agg(F.when(F.count(block) > 0, prompts.joined_blocks(F.col("rank"), block)).alias("block"))
 
 
 def _level(i: int) -> Column:
