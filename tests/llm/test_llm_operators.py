@@ -394,6 +394,24 @@ def test_op6_rejects_what_differs(spark):
     assert all(r["accepted"] for r in quality.classify(docs, labels.limit(0)).collect())
 
 
+def test_op6_learns_from_every_trusted_text(spark):
+    # 6,000 trusted texts, more than any sample of 4,000: each tells of a word of its own
+    docs = [(i, f"own{i} own{i} and then", "en") for i in range(6000)]
+    labels = spark.createDataFrame([(i, 1) for i in range(6000)], "doc_id long, quality int")
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = [r["perplexity"] for r in quality.classify(docs, labels, order=2).collect()]
+    # what the model hasn't seen is about the fifth that sets the thresholds
+    assert 0.17 < sum(p > 1.5 * min(got) for p in got) / len(got) < 0.23
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_op6_blocks_make_the_same_model(spark, folder, order):
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    docs = docs.unionByName(docs.where("doc_id % 5 = 0"))
+    one, four = (sorted((str(r["doc_id"]), r["n_tokens"], r["log10_prob"], r["threshold"] or 0, r["accepted"]) for r in quality.classify(docs, labels, order, blocks=b).collect()) for b in (1, 4))
+    assert len(one) == len(four) and all(a[:2] == b[:2] and a[4] == b[4] and abs(a[2] - b[2]) < 1e-7 * (1 + abs(a[2])) and abs(a[3] - b[3]) < 1e-6 * (1 + a[3]) for a, b in zip(one, four, strict=True))
+
+
 @pytest.mark.parametrize("most", [decontam.MOST_BROADCAST, 0])
 def test_op7(spark, folder, texts, most):
     docs, items = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")
