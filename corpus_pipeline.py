@@ -16,7 +16,7 @@ TOXIC_FROM = 0.3
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity is within their language's threshold."""
+    """Documents whose perplexity is within their language's threshold; labels of all ids in docs take part."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     # a document travels as one struct, so that its columns' names can't clash with a stage's;
     # decisions go by id and text, so that rows sharing an id, or without one, are told apart

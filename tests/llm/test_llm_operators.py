@@ -584,6 +584,24 @@ def test_pipeline(spark, folder, texts, tmp_path):
     assert {i: r["decoded_sha256"] for i, r in out.items()} == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in left.items()}
 
 
+def test_pipeline_learns_quality_from_every_trusted_text(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    where, asked = str(tmp_path), []
+    docs = spark.createDataFrame([(i, f"own{i} and then", "en", "s", 1) for i in range(6000)], SCHEMA)
+    spark.createDataFrame([(i, 1, 0) for i in range(6000)], "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+
+    def take(trusted, *_):
+        asked.append(trusted.count())
+        raise InterruptedError
+
+    # whichever function fits: all but the fifth that sets the thresholds reach it
+    monkeypatch.setattr(quality, "models" if hasattr(quality, "models") else "fit", take)
+    with pytest.raises(InterruptedError):
+        corpus_pipeline.keep_quality(spark, docs, where)
+    assert 4650 < asked[0] < 4950
+
+
 def test_pipeline_of_no_documents(spark, empty):
     import corpus_pipeline
 
