@@ -1,22 +1,9 @@
 """Quality: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-Every trusted document takes part: four fifths, by a hash of their id, make the model, the others the
-thresholds, which must come from text that the model hasn't seen.  Counts are sharded by n-gram; continuation
-counts, context totals, discounts and probabilities come from joins of those shards.  Each
-n-gram g then has one additive weight, so that the log-probability of a text is the sum of
-the weights of the n-grams it holds:
-
-    log p_m(g) - log p_(m-1)(suffix of g) - log backoff(context of g)    as it is predicted
-    + log backoff(g)                                                     as the next token's context
-
-and a text's perplexity comes from joining its n-grams with the weights (common keys
-broadcast, the others sharded).  A language's threshold is a quantile of the perplexity of its
-trusted documents outside the model.
-
-A large model is made and asked in blocks, so that neither its weights nor what the texts ask stand on disk
-at once.  A block takes the n-grams whose last word but one it is dealt: their contexts, and the shorter
-n-grams that they back off to, are dealt that word too, but for single words, which are counted over all
-blocks.  Weights add up, so a text's total is the sum over blocks.
+Every trusted document takes part: four fifths, by a hash of their id, make the model (``kneser_ney``), the
+others the thresholds, which must come from text that the model hasn't seen.  A language's threshold is a
+quantile of the perplexity of its trusted documents outside the model.  A large model is asked in blocks, so
+that what the texts ask doesn't stand on disk at once.
 
 Defined results: null and empty texts hold the end token alone; the longest texts are read whole, their
 bytes in bounded steps; perplexity is drawn to the language's mean with the weight of
@@ -30,23 +17,17 @@ an empty table; columns of docs other than those named aren't read, whatever the
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import ngrams, store
+from . import kneser_ney, ngrams, store
 
 ORDER = 3
 #: Trusted documents that may take part: all.
 MOST_TRUSTED = math.inf
 QUANTILE = 0.995
 PRIOR_TOKENS = 10.0
-#: How many times more often an n-gram is asked for than one that is longer by a token.
-MORE_ASKED = 4
 #: Bytes of the model's texts for each block, and the most blocks: each one reads the texts again.
 BLOCK_BYTES, MOST_BLOCKS = 4 << 20, 6
 #: Ids of the model's texts that may be broadcast; more meet the texts in a join, once.
@@ -55,165 +36,27 @@ MOST_IDS = 1_000_000
 MOST_LANGUAGES = 100_000
 
 
-def _tokens(m: int, first: int = 1) -> list[str]:
-    """Columns of an n-gram's tokens: t1 is the last, the predicted one."""
-    return [f"t{i}" for i in range(first, m + 1)]
-
-
-def _dealt(token: Column | np.ndarray, blocks: int):
-    """The block that a word is dealt to; of a column or an array."""
-    if isinstance(token, Column):
-        return F.shiftrightunsigned(token, 40) % blocks
-    return (token >> ngrams.U64(40)) % ngrams.U64(blocks)
-
-
-def _gram_rows(docs: DataFrame, order: int, text: str, blocks: int, block: int) -> DataFrame:
-    """Each distinct n-gram of the highest order in a block by its tokens, and its count n."""
-    names = _tokens(order)
-
-    def columns(s: ngrams.Stream) -> list[np.ndarray]:
-        at = s.at if blocks == 1 else s.at[_dealt(s.padded[s.at - 1], blocks) == block]
-        return [s.grams(order, at=at), *(s.padded[at - i] for i in range(order))]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return ngrams.combined(batches, "_text", order, columns, names)
-
-    rows = docs.select(F.col(text).alias("_text")).mapInArrow(run, ", ".join(f"{x} long" for x in [*names, "n"]))
-    return rows.groupBy(*names).agg(F.sum("n").alias("n"))
-
-
-def _keyed(rows: DataFrame, m: int) -> DataFrame:
-    """key, n and w of rows whose n-gram stands in its tokens' columns."""
-    names = _tokens(m)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens = [batch.column(x).to_numpy().view(np.uint64) for x in names]
-            key = pa.array(ngrams.chain(tokens).view(np.int64))
-            yield pa.RecordBatch.from_arrays([key, batch.column("n"), batch.column("w")], ["key", "n", "w"])
-
-    # texts ask for a shorter n-gram more often than for a longer one that the sample holds as often
-    return rows.select(*names, (F.col("n") * (MORE_ASKED ** (ORDER - m) if m < ORDER else 1)).alias("n"), "w").mapInArrow(run, "key long, n long, w double")
-
-
-def _discounts(level: DataFrame) -> list[float]:
-    """D1, D2 and D3+ from the counts of counts; 0.5, 1 and 1.5 where these are too few."""
-    found = {r["a"]: r["k"] for r in level.where("a <= 4").groupBy("a").agg(F.count("*").alias("k")).collect()}
-    n = [found.get(i, 0) for i in range(5)]
-    if not all(n[1:]):
-        return [0.5, 1.0, 1.5]
-    y = n[1] / (n[1] + 2 * n[2])
-    return [min(max(m - (m + 1) * y * n[m + 1] / n[m], 0.05), m - 0.05) for m in (1, 2, 3)]
-
-
-def _levels(trusted: DataFrame, order: int, text: str, blocks: int, block: int) -> dict[int, DataFrame]:
-    """By length, the n-grams of a block, down to pairs: tokens, count n and adjusted count a."""
-    levels = {order: store.materialise(_gram_rows(trusted, order, text, blocks, block).withColumn("a", F.col("n")), "grams")}
-    for m in range(order - 1, 1, -1):
-        levels[m] = store.materialise(_shorter(levels[m + 1], m), "grams")
-    store.release(trusted.sparkSession)
-    return levels
-
-
-def _shorter(longer: DataFrame, m: int) -> DataFrame:
-    """The n-grams of m tokens from those that are longer by one."""
-    begin = F.lit(int(ngrams.BEGIN.astype(np.int64)))
-    # continuation counts, but plain counts for what follows a text's begin: nothing stands before that
-    level = longer.groupBy(*_tokens(m)).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
-    return level.select(*_tokens(m), "n", F.when(F.col(f"t{m}") == begin, F.col("n")).otherwise(F.col("kinds")).alias("a"))
-
-
-def _union(tables: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, tables)
-
-
-def models(trusted: DataFrame, order: int = ORDER, text: str = "text", blocks: int = 1) -> Iterator[tuple[DataFrame, float]]:
-    """For each block of a model of all texts of trusted: its weights (key, n, w), and log10 of an unknown word's probability.
-
-    The weights of all blocks add up to the model.  A block's counts go when its weights are made.
-    """
-    spark = trusted.sparkSession
-    counted = [_levels(trusted, order, text, blocks, b) for b in range(blocks)]
-    first = counted[0][1] if order == 1 else store.materialise(_shorter(_union([c[2] for c in counted]), 1), "grams")
-    kept = lambda d: F.when(F.col("a") == 1, d[0]).when(F.col("a") == 2, d[1]).otherwise(d[2])
-    discounts = {m: _discounts(_union([c[m] for c in counted])) for m in range(2, order + 1)} | {1: _discounts(first)}
-
-    d = discounts[1]
-    sums = first.agg(F.count("*").alias("v"), F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.coalesce(F.sum(kept(d)), F.lit(0.0)).alias("d")).first()
-    unknown = (sums["d"] / sums["a"] if sums["a"] else 1.0) / (sums["v"] + 1)
-    p = F.log10((F.col("a") - kept(d)) / float(sums["a"] or 1) + unknown)
-    words = first.select("t1", "n", p.alias("p"), (p - math.log10(unknown)).alias("w"))
-    for block, levels in enumerate(counted):
-        scored = words.where(_dealt(F.col("t1"), blocks) == block) if blocks > 1 else words
-        below, weights = words, []
-        for m in range(2, order + 1):
-            d, contexts = discounts[m], _tokens(m, 2)
-            found = levels[m].groupBy(*contexts).agg(F.sum("a").alias("all"), F.sum(kept(d)).alias("left"), F.sum("n").alias("uses"))
-            found = store.materialise(found.withColumn("backoff", F.log10(F.col("left") / F.col("all"))), "contexts")
-            # an n-gram's weight holds its backoff as a context; what only begins a text is no event itself
-            as_context = found.select(*(F.col(x).alias(f"t{i}") for i, x in enumerate(contexts, 1)), "uses", "backoff")
-            both = scored.join(as_context, _tokens(m - 1), "full")
-            both = both.select(*_tokens(m - 1), F.greatest("n", "uses").alias("n"), (F.coalesce("w", F.lit(0.0)) + F.coalesce("backoff", F.lit(0.0))).alias("w"))
-            weights.append(store.materialise(_keyed(both, m - 1), "weights"))
-            lower = below.select(*_tokens(m - 1), F.col("p").alias("lower"))
-            joined = levels[m].join(found.drop("uses"), contexts).join(lower, _tokens(m - 1))
-            q = F.log10((F.col("a") - kept(d)) / F.col("all") + F.col("left") / F.col("all") * F.pow(F.lit(10.0), F.col("lower")))
-            rows = joined.select(*_tokens(m), "n", q.alias("p"), (q - F.col("lower") - F.col("backoff")).alias("w"))
-            if m == order:
-                weights.append(store.materialise(_keyed(rows, m), "weights"))
-                after = None
-            else:
-                after = store.materialise(rows, "grams")
-            # what the next order doesn't need goes before that is written
-            for spent in (found, levels[m], *([scored] if m > 2 else [])):
-                store.remove(spark, spent)
-            scored = below = after
-            store.release(spark)
-        if order == 1:
-            weights.append(store.materialise(_keyed(scored, 1), "weights"))
-        if block == blocks - 1:
-            store.remove(spark, first)
-        yield _union(weights), math.log10(unknown)
-
-
-def fit(trusted: DataFrame, order: int = ORDER, text: str = "text") -> tuple[DataFrame, float]:
-    """The weights (key, n, w) of a model of all texts of trusted, and log10 of an unknown word's probability."""
-    return next(models(trusted, order, text))
-
-
-def lookups(order: int, blocks: int = 1, block: int = 0):
-    """The keys of a text whose weights add up to its log-probability above that of unknown words; those that a block may hold."""
-
-    def held(s: ngrams.Stream, m: int, at: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if blocks == 1:
-            return s.grams(m, at=at), offsets
-        # a block holds what it predicts after its words, and what ends in them as a context
-        mine = _dealt(s.padded[at - 1], blocks) == block if m > 1 else np.zeros(len(at), bool)
-        if m < order:
-            mine |= _dealt(s.padded[at], blocks) == block
-        return s.grams(m, at=at[mine]), np.concatenate([[0], np.cumsum(mine)])[offsets]
-
-    def keys(s: ngrams.Stream) -> list[tuple[np.ndarray, np.ndarray]]:
-        top = [held(s, order, s.at, s.rows)]
-        if order == 1:
-            return top
-        at, offsets = s.spots(order)
-        return [*(held(s, m, at, offsets) for m in range(1, order)), *top]
-
-    return keys
+def fit(trusted: DataFrame, order: int = ORDER, text: str = "text", size: int | None = None) -> tuple[kneser_ney.Model, float]:
+    """A model of all texts of trusted, of 1 to 3 words, and log10 of an unknown word's probability.  size: bytes of the texts, where known."""
+    store.ship(trusted.sparkSession)
+    model = kneser_ney.fit(trusted, order, text, size)
+    return model, model.unknown
 
 
-def log_probabilities(docs: DataFrame, weights: DataFrame, unknown: float, order: int = ORDER, text: str = "text", keep: list[str] | None = None, hot_keys: int = ngrams.HOT_KEYS) -> DataFrame:
-    """keep (default doc_id) with n_tokens and log10_prob of each whole text."""
+def log_probabilities(docs: DataFrame, model: kneser_ney.Model, unknown: float, order: int = ORDER, text: str = "text", keep: list[str] | None = None, hot_keys: int = ngrams.HOT_KEYS, blocks: int = 1) -> DataFrame:
+    """keep (default doc_id) with n_tokens and log10_prob of each whole text; model and unknown: of fit, for that order."""
+    if (order, unknown) != (model.order, model.unknown):
+        raise ValueError("not the model that was fitted")
     keep = keep if keep is not None else ["doc_id"]
-    scored = ngrams.additive_scores(docs, weights, order, lookups(order), text, keep, hot_keys=hot_keys)
-    return scored.select(*keep, "n_tokens", (F.col("total") + F.col("n_tokens") * unknown).alias("log10_prob"))
+    held = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)), F.col(text).alias("_text"), F.xxhash64(text).alias("_key"))
+    scored = kneser_ney.log_probabilities(held, model, [f"_{i}" for i in range(len(keep))], "_key", "_text", hot_keys, blocks)
+    return scored.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(keep)), "n_tokens", "log10_prob")
 
 
 def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, blocks: int | None = None, label: str = "quality", keep: list[str] | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """keep (default doc_id and lang) with n_tokens, log10_prob, perplexity, threshold and accepted.
 
-    labels: label 1 marks trusted documents.  blocks: of the model, by default as its texts' size asks; the results are the same.
+    labels: label 1 marks trusted documents.  blocks: in which the model is asked, by default as its texts' size asks; the results are the same.
     """
     spark = docs.sparkSession
     store.ship(spark)
@@ -225,31 +68,18 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     few = ids.count() <= MOST_IDS
     training = texts.join(F.broadcast(ids) if few else ids, "_id", "left_semi")
     training = training if few else store.materialise(training, "training", "zstd")
+    size = kneser_ney.bytes_of(training, "_text")
     if blocks is None:
-        size = training.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)).alias("n")).first()["n"]
         blocks = min(MOST_BLOCKS, 1 + size // BLOCK_BYTES)
-    blocks = blocks if order > 1 else 1
 
     inner = [f"_keep{i}" for i in range(len(keep))]
     # a total depends on the text alone, so rows of one id and text may share it
     renamed = docs.select(*(F.col(c).alias(x) for c, x in zip(keep, inner, strict=True)), F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("_text"), F.xxhash64(doc_id, text).alias("_key"))
-    parts: list[DataFrame] = []
-    for block, (weights, unknown) in enumerate(models(training, order, "_text", blocks)):
-        columns = ["_key"] if parts else [*inner, "_id", "_lang", "_key"]
-        asked = ngrams.additive_scores(renamed, weights, order, lookups(order, blocks, block), "_text", columns, hot_keys=ngrams.HOT_KEYS // blocks)
-        parts.append(store.materialise(asked.select(*columns, *([] if parts else ["n_tokens"]), "total"), "totals"))
-        store.remove(spark, asked)
-        store.release(spark)
+    model, _ = fit(training, order, "_text", size)
     if not few:
         store.remove(spark, training)
-    scored = parts[0]
-    if blocks > 1:
-        others = _union(parts[1:]).groupBy("_key").agg((F.avg("total") * (blocks - 1)).alias("_others"))
-        scored = scored.join(others, "_key").withColumn("total", F.col("total") + F.col("_others"))
-    scored = scored.select(*inner, "_id", "_lang", "n_tokens", (F.col("total") + F.col("n_tokens") * unknown).alias("log10_prob"))
-    if blocks > 1:
-        scored = store.materialise(scored, "perplexities")
-        store.remove(spark, *parts)
+    scored = kneser_ney.log_probabilities(renamed, model, [*inner, "_id", "_lang"], "_key", "_text", ngrams.HOT_KEYS, blocks)
+    model.remove()
     calibration = scored.select("_id", "_lang", "n_tokens", "log10_prob").join(marked.where("_calibrate").select("_id"), "_id")
 
     mean = -F.sum("log10_prob") / F.sum("n_tokens")

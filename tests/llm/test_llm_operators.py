@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pathlib
 import random
 import re
 import zlib
@@ -412,6 +413,40 @@ def test_op6_blocks_make_the_same_model(spark, folder, order):
     assert len(one) == len(four) and all(a[:2] == b[:2] and a[4] == b[4] and abs(a[2] - b[2]) < 1e-7 * (1 + abs(a[2])) and abs(a[3] - b[3]) < 1e-6 * (1 + a[3]) for a, b in zip(one, four, strict=True))
 
 
+@pytest.mark.parametrize("hot", [0, 7])
+def test_op6_groups_and_blocks_are_the_whole_model(spark, texts, monkeypatch, hot):
+    # many small groups, cells and lots; words that not every worker holds; copies share a key
+    for name, value in {"LOT": 700, "CELL": 40, "SUM_AT": 50, "SMALL_BYTES": 500}.items():
+        monkeypatch.setattr(quality.kneser_ney, name, value)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    weights, unknown = quality.fit(docs.where("doc_id % 3 = 0"))
+    assert weights.groups > 20
+    model = brute_kneser_ney([plain_words(t) for t in texts[::3]], 3)
+    got = quality.log_probabilities(docs, weights, unknown, hot_keys=hot, blocks=3).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(len(texts)))
+    for r in got:
+        assert abs(r["log10_prob"] - model(plain_words(texts[r["doc_id"]]))) < 1e-6 * (1 + abs(r["log10_prob"])), r
+
+
+def test_op6_tables_are_smaller_than_its_input(spark, monkeypatch):
+    # n-grams that hardly repeat, the dearest case; tables of a row for each n-gram took more than the input
+    rng, largest, write = np.random.default_rng(4), [0], store.materialise
+    texts = [" ".join(f"word{x}" for x in rng.zipf(1.3, 400) % 5000) for _ in range(1500)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    before = set(pathlib.Path(store.shared_dir(spark).removeprefix("file://")).rglob("*.parquet"))
+
+    def measured(*args, **more):
+        out = write(*args, **more)
+        here = [x for x in pathlib.Path(store.shared_dir(spark).removeprefix("file://")).rglob("*.parquet") if x not in before]
+        largest[0] = max(largest[0], sum(x.stat().st_size for x in here if x.is_file()))
+        return out
+
+    monkeypatch.setattr(store, "materialise", measured)
+    labels = spark.createDataFrame([(i, 1) for i in range(len(texts))], "doc_id long, quality int")
+    assert quality.classify(docs, labels).count() == len(texts)
+    assert largest[0] < sum(map(len, texts)), (largest[0], sum(map(len, texts)))
+
+
 @pytest.mark.parametrize("most", [decontam.MOST_BROADCAST, 0])
 def test_op7(spark, folder, texts, most):
     docs, items = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")
