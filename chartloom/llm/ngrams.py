@@ -51,13 +51,6 @@ class Stream:
     def events(self, n: int) -> np.ndarray:
         return self.grams(n)
 
-    def spots(self, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the predicted tokens and of the begin before each text, and their offsets by text."""
-        n = len(self.rows) - 1
-        offsets = self.rows + np.arange(n + 1)
-        begins = self.rows[:-1] + np.arange(n) * (order - 1) + order - 2
-        return np.arange(offsets[-1]) + np.repeat(begins - offsets[:-1], np.diff(offsets)), offsets
-
 
 def stream(texts: pa.Array, order: int) -> Stream:
     words, rows = textops.word_hashes(*textops.text_buffer(texts))
