@@ -33,6 +33,8 @@ from .textops import U64
 GROUP_BYTES, SMALL_GROUPS, SMALL_BYTES = 6 << 20, 48, 1 << 18
 #: n-grams that a task packs at a time, of a cell at most, and that are held before a group's are summed; bounds on memory.
 LOT, CELL, SUM_AT = 1 << 20, 1 << 17, 1 << 22
+#: n-grams of a group that are worked on at a time, and more where one middle word has more.
+SLICE = 1 << 17
 #: Tasks that groups are dealt to; a task takes one group after another.
 MOST_TASKS = 20_000
 #: Kinds of rows, in the order in which a group reads them.
@@ -94,19 +96,37 @@ class Grams:
         bits = len(self.words).bit_length()
         if 3 * bits > 64:
             return np.lexsort((self.last, self.before, self.middle))
-        wide = [x.astype(np.uint64) for x in (self.middle, self.before, self.last)]
-        return np.argsort((wide[0] << U64(2 * bits)) | (wide[1] << U64(bits)) | wide[2])
+        wide = self.middle.astype(np.uint64)
+        for x in (self.before, self.last):
+            wide <<= U64(bits)
+            wide |= x
+        return np.argsort(wide)
 
-    def take(self, by: np.ndarray) -> "Grams":
+    def take(self, by: slice | np.ndarray) -> "Grams":
         return Grams(self.words, self.middle[by], self.before[by], self.last[by])
 
     def __len__(self) -> int:
         return len(self.last)
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[_changes(x)]
+
+
 def _of_hashes(three: list[np.ndarray]) -> Grams:
-    words, ids = np.unique(np.concatenate(three), return_inverse=True)
-    return Grams(words, *(x.astype(np.uint32) for x in np.split(ids.reshape(-1), 3)))
+    """three: hashes by n-gram; the list is emptied, since a lot's arrays fill most of a worker's memory."""
+    words = _distinct(np.concatenate([_distinct(x) for x in three]))
+    return Grams(words, *(np.searchsorted(words, three.pop(0)).astype(np.uint32) for _ in range(3)))
+
+
+def _joined(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Each column's arrays as one; those held are let go, column by column."""
+    out = []
+    for x in held:
+        out.append(np.concatenate(x))
+        x.clear()
+    return out
 
 
 def _changes(*columns: np.ndarray) -> np.ndarray:
@@ -128,14 +148,25 @@ def _together(parts: list[Grams]) -> Grams:
 
 
 def _counted(parts: list[tuple[Grams, np.ndarray]]) -> tuple[Grams, np.ndarray]:
-    """Each distinct n-gram of all parts, sorted, and the sum of its counts."""
+    """Each distinct n-gram of all parts, sorted, and the sum of its counts; parts is emptied."""
     grams, n = _together([g for g, _ in parts]), np.concatenate([n for _, n in parts])
+    parts.clear()
     by = grams.sorted_by()
     grams, n = grams.take(by), n[by]
     first = _changes(grams.middle, grams.before, grams.last)
     return grams.take(first), np.add.reduceat(n, first) if len(first) else n
 
 
+def _slices(middle: np.ndarray) -> Iterator[slice]:
+    """Ranges of sorted middle words of about SLICE n-grams that part no word."""
+    first, at = _changes(middle), 0
+    while at < len(middle):
+        next_ = int(np.searchsorted(first, at + SLICE))
+        to = int(first[next_]) if next_ < len(first) else len(middle)
+        yield slice(at, to)
+        at = to
+
+
 def _group_of(words: np.ndarray, groups: int) -> np.ndarray:
     """The group of a middle word, which doesn't fall as its hash rises."""
     return (((words >> U64(32)) * U64(groups)) >> U64(32)).astype(np.int32)
@@ -197,23 +228,25 @@ def count(trusted: DataFrame, order: int, text: str, groups: int) -> DataFrame:
     """The counts of the model by group: cells of n-grams with counts, words (continuation and plain counts), counts of counts."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size = [[], [], []], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            grams = _of_hashes([np.concatenate(x) for x in zip(*held, strict=True)])
-            held.clear()
-            grams, n = _counted([(grams, np.ones(len(grams), np.int64))])
+            grams = _of_hashes(_joined(held))
+            grams = grams.take(grams.sorted_by())
+            first = _changes(grams.middle, grams.before, grams.last)
+            grams, n = grams.take(first), np.diff(first, append=len(grams))
             for group, at in _cells(grams, groups):
                 yield _row(group, MODEL, 0, grams.part(at).packed(n[at]))
 
         for batch in batches:
             for part in textops.pieces(batch, "_text"):
-                held.append(_hashes(ngrams.stream(part.column("_text"), order), order))
-                size += len(held[-1][0])
+                for column, x in zip(held, _hashes(ngrams.stream(part.column("_text"), order), order), strict=True):
+                    column.append(x)
+                size += len(held[0][-1])
                 if size >= LOT:
                     yield from flush()
                     size = 0
-        if held:
+        if held[0]:
             yield from flush()
         textops.settle()
 
@@ -222,16 +255,20 @@ def count(trusted: DataFrame, order: int, text: str, groups: int) -> DataFrame:
 
         def give() -> Iterator[pa.RecordBatch]:
             grams, n = _counted(parts)
-            parts.clear()
             for i, (_, at) in enumerate(_cells(grams, groups)):
                 yield _row(now, MODEL, i, grams.part(at).packed(n[at]))
-            pairs = Pairs.under(grams, n, order)
-            kinds, plain = np.bincount(pairs.last, minlength=len(grams.words)), np.bincount(grams.last, n, len(grams.words)).astype(np.int64)
+            kinds, plain = (np.zeros(len(grams.words), np.int64) for _ in range(2))
+            small = np.zeros(4, np.int64)
+            for at in _slices(grams.middle):
+                pairs = Pairs.under(grams.take(at), n[at], order)
+                kinds += np.bincount(pairs.last, minlength=len(kinds))
+                plain += np.bincount(grams.last[at], n[at], len(plain)).astype(np.int64)
+                small += _of_small(pairs.a)
             here = np.flatnonzero(kinds)
             for a in range(0, len(here), CELL):
                 some = here[a : a + CELL]
                 yield _row(now, WORDS, a // CELL, _pack([grams.words[some], kinds[some], plain[some]]))
-            yield _row(now, COUNTS, 0, _pack([np.array([*_of_small(pairs.a), *_of_small(n)])]))
+            yield _row(now, COUNTS, 0, _pack([np.array([*small, *_of_small(n)])]))
 
         for group, _, rows in _runs(batches):
             if group != now:
@@ -346,28 +383,40 @@ class Group:
 
     def __init__(self, grams: Grams, n: np.ndarray, order: int, discounts: dict[int, list[float]], log_p: Callable[[np.ndarray], np.ndarray]):
         """grams: distinct and sorted; log_p gives log10 of the probabilities of words."""
-        self.words, size = grams.words, len(grams.words)
-        pairs = Pairs.under(grams, n, order)
-        self.pairs, single = _both(pairs.middle, pairs.last), np.zeros(size)
-        predicted = np.unique(pairs.last)
+        self.words, self.order, size = grams.words, order, len(grams.words)
+        single, self.backoff, predicted = np.zeros(size), np.zeros(size + 1), np.zeros(size, bool)
+        predicted[grams.last] = True
         single[predicted] = log_p(grams.words[predicted])
+        # slice by slice, since what leads to the numbers is several times as large as they are
+        made, contexts = [[] for _ in range(6 if order == 3 else 2)], 0
+        for at in _slices(grams.middle):
+            columns = self._adds(grams.take(at), n[at], discounts, single, contexts)
+            for x, column in zip(made, columns, strict=True):
+                x.append(column)
+            contexts += len(columns[2]) if order == 3 else 0
+        self.pairs, self.pair_adds, *more = _joined(made)
+        if order == 3:
+            self.contexts, self.context_backoff, self.grams, self.adds = more
+
+    def _adds(self, grams: Grams, n: np.ndarray, discounts: dict[int, list[float]], single: np.ndarray, contexts: int) -> list[np.ndarray]:
+        """Of n-grams with all those of their middle words: pairs and what they add, contexts and their backoff, n-grams and what they add.  contexts: how many there are before."""
+        pairs = Pairs.under(grams, n, self.order)
         # pairs are sorted by their middle word, so each of these has one range of them
         first = _changes(pairs.middle)
         of = np.repeat(np.arange(len(first)), np.diff(first, append=len(pairs.a)))
         kept = _kept(discounts[2], pairs.a)
         total, left = np.add.reduceat(pairs.a, first), np.add.reduceat(kept, first)
         p = (pairs.a - kept) / total[of] + (left / total)[of] * 10.0 ** single[pairs.last]
-        self.pair_adds, self.backoff = np.log10(p) - single[pairs.last], np.zeros(size + 1)
         self.backoff[pairs.middle[first]] = np.log10(left / total)
-        self.order = order
-        if order == 3:
+        out = [_both(pairs.middle, pairs.last), np.log10(p) - single[pairs.last]]
+        if self.order == 3:
             first = _changes(grams.middle, grams.before)
             of = np.repeat(np.arange(len(first)), np.diff(first, append=len(n)))
             kept = _kept(discounts[3], n)
             total, left = np.add.reduceat(n, first), np.add.reduceat(kept, first)
             p = (n - kept) / total[of] + (left / total)[of] * p[pairs.of]
-            self.contexts, self.context_backoff = _both(grams.middle[first], grams.before[first]), np.log10(left / total)
-            self.grams, self.adds = _both(of, grams.last), np.log10(p) - single[grams.last]
+            out += [_both(grams.middle[first], grams.before[first]), np.log10(left / total), _both(of + contexts, grams.last), np.log10(p) - single[grams.last]]
+        return out
 
     def ask(self, asked: Grams) -> np.ndarray:
         """What is added for each n-gram."""
@@ -387,11 +436,11 @@ def _asks(docs: DataFrame, order: int, groups: int, blocks: int, block: int) ->
     """The n-grams of all texts that a block's groups are asked for, with the texts' keys: of (_key, _text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, n_lots = [], 0, 0
+        held, size, n_lots = [[], [], [], []], 0, 0
+        textops.KeyIndex.forget()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            *three, key = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
+            *three, key = _joined(held)
             grams = _of_hashes(three)
             by = grams.sorted_by()
             grams, key = grams.take(by), key[by]
@@ -407,7 +456,8 @@ def _asks(docs: DataFrame, order: int, groups: int, blocks: int, block: int) ->
                 if blocks > 1:
                     mine = _group_of(columns[0], groups) % blocks == block
                     columns = [x[mine] for x in columns]
-                held.append(columns)
+                for column, x in zip(held, columns, strict=True):
+                    column.append(x)
                 size += len(columns[0])
                 if size >= LOT:
                     yield from flush()
@@ -448,12 +498,15 @@ def _answers(rows: DataFrame, model: Model, hot: Broadcast) -> DataFrame:
                     parts.append((grams, more[0].astype(np.int64)))
                     continue
                 if parts and group_of_now is None:
-                    group_of_now = Group(_together([g for g, _ in parts]), np.concatenate([n for _, n in parts]), order, discounts, log_p)
+                    grams_of_now, n = _together([g for g, _ in parts]), np.concatenate([n for _, n in parts])
                     parts.clear()
+                    group_of_now = Group(grams_of_now, n, order, discounts, log_p)
+                    del grams_of_now, n
                 if group_of_now is not None:
                     key, of = np.cumsum(more[0], dtype=np.uint64), more[1]
                     added = np.bincount(of, group_of_now.ask(grams), len(key))
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(added)], ["_key", "t"])
+        rare, parts, group_of_now = [], [], None
         textops.settle()
 
     return rows.mapInArrow(run, "_key long, t double")

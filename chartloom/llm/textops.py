@@ -143,6 +143,11 @@ class KeyIndex:
             cls._latest = (of, cls(keys))
         return cls._latest[1]
 
+    @classmethod
+    def forget(cls) -> None:
+        """Let go of the index that a worker keeps, before other work that needs memory."""
+        cls._latest = None
+
     def __init__(self, keys: np.ndarray):
         """keys: distinct."""
         self.bits = max(4, int(2 * max(1, len(keys)) - 1).bit_length())

@@ -5,10 +5,12 @@ import math
 import pathlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -428,6 +430,53 @@ def test_op6_groups_and_blocks_are_the_whole_model(spark, texts, monkeypatch, ho
         assert abs(r["log10_prob"] - model(plain_words(texts[r["doc_id"]]))) < 1e-6 * (1 + abs(r["log10_prob"])), r
 
 
+def _worker_functions(make):
+    """What make hands to mapInArrow, to be called here."""
+    found = []
+
+    class Frame:
+        select = repartition = sortWithinPartitions = lambda self, *_: self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            found.append(run)
+            return self
+
+    make(Frame())
+    return found
+
+
+@pytest.mark.parametrize("part", ["count", "ask"])
+def test_op6_workers_hold_few_bytes_an_n_gram(spark, part):
+    rng, n = np.random.default_rng(5), quality.kneser_ney.LOT
+    words = rng.zipf(1.2, n) % 50_000
+    texts = [" ".join(f"w{x}" for x in some) for some in np.array_split(words, 500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(500)), pa.array(texts)], ["_key", "_text"])
+    make = {"count": lambda x: quality.kneser_ney.count(x, 3, "_text", 48), "ask": lambda x: quality.kneser_ney._asks(x, 3, 48, 1, 0)}[part]
+    run = _worker_functions(make)[0]
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows >= 48
+    assert peak < 90 * n, peak / n
+
+
+def test_op6_slices_of_a_group_are_the_whole_group(monkeypatch):
+    rng, kn = np.random.default_rng(6), quality.kneser_ney
+    grams, n = kn._counted([(kn._of_hashes([rng.integers(1, 60, 5000).astype(np.uint64) for _ in range(3)]), np.ones(5000, np.int64))])
+    asked = kn._of_hashes([rng.integers(1, 70, 3000).astype(np.uint64) for _ in range(3)])
+    got = []
+    for size in (1 << 17, 1, 300):
+        monkeypatch.setattr(kn, "SLICE", size, raising=False)
+        for order in (2, 3):
+            pairs = grams if order == 3 else kn.Grams(grams.words, grams.middle, np.zeros_like(grams.before), grams.last)
+            group = kn.Group(pairs, n, order, {2: [0.5, 1.0, 1.4], 3: [0.6, 1.1, 1.5]}, lambda words: -1 - words / 100)
+            got.append(group.ask(asked).tolist())
+    assert got[:2] == got[2:4] == got[4:]
+
+
 def test_op6_tables_are_smaller_than_its_input(spark, monkeypatch):
     # n-grams that hardly repeat, the dearest case; tables of a row for each n-gram took more than the input
     rng, largest, write = np.random.default_rng(4), [0], store.materialise
