@@ -39,6 +39,7 @@ JOINED = 4096
 LOT = 2 << 20
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 _codecs: dict[tuple[str, str], "ByteCodec"] = {}
+textops.KEEPERS.append(_codecs.clear)
 
 
 def byte_characters() -> list[str]:

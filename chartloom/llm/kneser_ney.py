@@ -229,6 +229,7 @@ def count(trusted: DataFrame, order: int, text: str, groups: int) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [[], [], []], 0
+        textops.lighten()
 
         def flush() -> Iterator[pa.RecordBatch]:
             grams = _of_hashes(_joined(held))
@@ -437,7 +438,7 @@ def _asks(docs: DataFrame, order: int, groups: int, blocks: int, block: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, n_lots = [[], [], [], []], 0, 0
-        textops.KeyIndex.forget()
+        textops.lighten()
 
         def flush() -> Iterator[pa.RecordBatch]:
             *three, key = _joined(held)

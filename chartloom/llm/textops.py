@@ -8,7 +8,7 @@ sums modulo 2**64 and moved to position 0 with the inverse power.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +67,16 @@ def settle() -> None:
         pass
 
 
+#: What empties the stores that modules keep in a worker from task to task.
+KEEPERS: list[Callable[[], None]] = []
+
+
+def lighten() -> None:
+    """Let go of what earlier tasks left in this worker, before work that needs its memory; later ones make it anew."""
+    for clear in KEEPERS:
+        clear()
+
+
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of a string array; null counts as empty."""
     texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
@@ -145,7 +155,6 @@ class KeyIndex:
 
     @classmethod
     def forget(cls) -> None:
-        """Let go of the index that a worker keeps, before other work that needs memory."""
         cls._latest = None
 
     def __init__(self, keys: np.ndarray):
@@ -179,3 +188,6 @@ class KeyIndex:
             keep = (found[going] >= 0) & (self.table[slot] != keys[going])
             going, slot = going[keep], slot[keep]
         return found
+
+
+KEEPERS.append(KeyIndex.forget)

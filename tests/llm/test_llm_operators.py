@@ -463,6 +463,14 @@ def test_op6_workers_hold_few_bytes_an_n_gram(spark, part):
     assert peak < 90 * n, peak / n
 
 
+def test_op6_workers_let_go_of_what_other_operators_left(spark, monkeypatch):
+    monkeypatch.setitem(bpe._codecs, ("a", "b"), object())
+    monkeypatch.setattr(textops.KeyIndex, "_latest", ("x", object()))
+    run = _worker_functions(lambda x: quality.kneser_ney.count(x, 3, "_text", 48))[0]
+    assert list(run(iter([pa.RecordBatch.from_arrays([pa.array(["a b c"])], ["_text"])])))
+    assert not bpe._codecs and textops.KeyIndex._latest is None
+
+
 def test_op6_slices_of_a_group_are_the_whole_group(monkeypatch):
     rng, kn = np.random.default_rng(6), quality.kneser_ney
     grams, n = kn._counted([(kn._of_hashes([rng.integers(1, 60, 5000).astype(np.uint64) for _ in range(3)]), np.ones(5000, np.int64))])
