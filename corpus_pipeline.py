@@ -1,7 +1,7 @@
 """From raw documents to token counts: five stages, each written as Parquet and read again.
 
 Each function takes (spark, docs, sf_dir) and works on every row of docs; all but the last
-return the columns of documents.
+return the columns of documents.  A stage begins with executors that hold nothing of the one before.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ TOXIC_FROM = 0.3
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is within their language's threshold; labels of all ids in docs take part."""
+    store.rest(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     # a document travels as one struct, so that its columns' names can't clash with a stage's;
     # decisions go by id and text, so that rows sharing an id, or without one, are told apart
@@ -29,6 +30,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below TOXIC_FROM; labels of all ids in docs may train."""
+    store.rest(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs.select("doc_id", "text"), labels, F.lit(True))
     held = docs.select(F.struct(*docs.columns).alias("doc"), "text")
@@ -37,17 +39,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five words, similarity 0.8."""
+    store.rest(spark)
     return minhash.deduplicate(docs, k=5, percent=80)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated, without what passages of the benchmark they hold."""
+    store.rest(spark)
     clean = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's number of ids, their digest, and that of the bytes they decode to."""
+    store.rest(spark)
     made = {"text", "n_tokens", "ids_sha256", "decoded_sha256"}
     return bpe.round_trip(docs, keep=[c for c in docs.columns if c not in made])
 
