@@ -44,8 +44,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated, without what passages of the benchmark they hold."""
-    store.rest(spark)
+    """Documents that aren't contaminated, without what passages of the benchmark they hold; DataFrame operations only."""
+    store.rest(spark, python=False)
     clean = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
